@@ -17,8 +17,14 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mix_sources(read(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.sharding import op4_shard_documents
+
+    return op4_shard_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": _op1}
+    return {"op1_mix_sources": _op1, "op4_shard_documents": _op4}
 
 
 def oracle_sql() -> dict[str, str]:
