@@ -24,7 +24,7 @@ from mirador.llm.common import materialise, n_words, running_start, with_row_id
 #: Cells that the draw of a source is looked up in: the table of cells has this many rows at any input size.
 CELLS = 65536
 #: Documents that share one chunk when offsets are summed up.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 5_000
 ROUNDS = 12
 
 
