@@ -1,0 +1,10 @@
+"""Spark-native analytics over frames, boxes and tracks, and over text corpora.
+
+Functions that run on executors travel by value, so a cluster needs no copy of this package on its machines.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
