@@ -23,9 +23,23 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_shard_documents(read(spark, sf_dir, "documents"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.simhash import op7_simhash
+
+    return op7_simhash(read(spark, sf_dir, "documents"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.linededup import op10_line_dedup
+
+    return op10_line_dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": _op1, "op4_shard_documents": _op4}
+    return {"op1_mix_sources": _op1, "op4_shard_documents": _op4, "op7_simhash": _op7, "op10_line_dedup": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from mirador.llm.linededup import OP10_SQL
+
+    return {"op10_line_dedup": OP10_SQL}
