@@ -17,6 +17,12 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mix_sources(read(spark, sf_dir, "documents"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.secret_scan import op2_secret_scan
+
+    return op2_secret_scan(read(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirador.llm.sharding import op4_shard_documents
 
@@ -36,10 +42,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": _op1, "op4_shard_documents": _op4, "op7_simhash": _op7, "op10_line_dedup": _op10}
+    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op4_shard_documents": _op4, "op7_simhash": _op7, "op10_line_dedup": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
     from mirador.llm.linededup import OP10_SQL
+    from mirador.llm.secret_scan import OP2_SQL
 
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op10_line_dedup": OP10_SQL}
