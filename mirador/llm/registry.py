@@ -29,6 +29,12 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_shard_documents(read(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.embeddings import op5_embedding_dedup
+
+    return op5_embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirador.llm.simhash import op7_simhash
 
@@ -42,7 +48,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op4_shard_documents": _op4, "op7_simhash": _op7, "op10_line_dedup": _op10}
+    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op4_shard_documents": _op4, "op5_embedding_dedup": _op5, "op7_simhash": _op7, "op10_line_dedup": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
