@@ -35,12 +35,24 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_embedding_dedup(read(spark, sf_dir, "embeddings"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.toxicity import op6_toxicity
+
+    return op6_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirador.llm.simhash import op7_simhash
 
     return op7_simhash(read(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.quality import op8_quality
+
+    return op8_quality(read(spark, sf_dir, "documents"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirador.llm.linededup import op10_line_dedup
 
@@ -48,7 +60,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op4_shard_documents": _op4, "op5_embedding_dedup": _op5, "op7_simhash": _op7, "op10_line_dedup": _op10}
+    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op4_shard_documents": _op4, "op5_embedding_dedup": _op5, "op6_toxicity": _op6, "op7_simhash": _op7, "op8_quality": _op8, "op10_line_dedup": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
