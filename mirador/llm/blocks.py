@@ -30,8 +30,9 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(r)) for i, r in enumerate(root) if i != r]
 
 
-def linked(rows: DataFrame, key: str, node: str, payload: str, links: Callable[[list, list, bool], tuple[np.ndarray, np.ndarray]], block: int = BLOCK, partitions: int | None = None) -> DataFrame:
-    """(a, b): a forest of the links within each key. rows: distinct (key long, node long, payload).
+def linked(rows: DataFrame, key: str, node: str, links: Callable[[list, list, bool], tuple[np.ndarray, np.ndarray]], payloads: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): a forest of the links within each key. rows: distinct (key long, node long); payloads: (node, payload), a row a
+    node, brought only to nodes that meet others; without it a node is its own payload.
 
     links(payloads of one block, of another, same block) gives the index pairs that verify; it may hold block * block
     numbers at a time, no more.
@@ -44,10 +45,14 @@ def linked(rows: DataFrame, key: str, node: str, payload: str, links: Callable[[
     dealt = dealt.select(
         F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_task"),
         F.col(key).alias("_key"), F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-        F.col("_own").alias("_own"), F.col(node).alias("_node"), F.col(payload).alias("_payload"),
+        "_own", F.col(node).alias("_node"),
     )
+    if payloads is None:
+        dealt = dealt.withColumn("_payload", F.col("_node"))
+    else:
+        dealt = dealt.join(payloads.select(F.col(node).alias("_node"), F.col("payload").alias("_payload")), "_node")
     order = ["_task", "_key", "_i", "_j"]
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "_task").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

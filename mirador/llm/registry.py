@@ -23,6 +23,12 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secret_scan(read(spark, sf_dir, "documents"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.substring import op3_substring_dedup
+
+    return op3_substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirador.llm.sharding import op4_shard_documents
 
@@ -53,6 +59,12 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality(read(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirador.llm.decontaminate import op9_decontaminate
+
+    return op9_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirador.llm.linededup import op10_line_dedup
 
@@ -60,7 +72,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op4_shard_documents": _op4, "op5_embedding_dedup": _op5, "op6_toxicity": _op6, "op7_simhash": _op7, "op8_quality": _op8, "op10_line_dedup": _op10}
+    return {"op1_mix_sources": _op1, "op2_secret_scan": _op2, "op3_substring_dedup": _op3, "op4_shard_documents": _op4, "op5_embedding_dedup": _op5, "op6_toxicity": _op6, "op7_simhash": _op7, "op8_quality": _op8, "op9_decontaminate": _op9, "op10_line_dedup": _op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
         often[r["p"]] = r["count"]
     rare = np.empty(2048, dtype=np.int64)
     rare[np.argsort(often, kind="stable")] = np.arange(2048)
-    edges = linked(_keyed(distinct.select("_fp"), rare), "_key", "_fp", "_fp", _close)
+    edges = linked(_keyed(distinct.select("_fp"), rare), "_key", "_fp", _close)
     labels = components(edges)
     reached = distinct.join(labels, distinct["_fp"] == labels["node"], "left").select("_fp", F.coalesce("component", "_fp").alias("_class"), "_least")
     # classes of distinct fingerprints: the smallest doc_id of each, back to its fingerprints
