@@ -63,20 +63,21 @@ def line_hashes(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 class LineRuns:
     """Levelled runs of (k1, k2, n_docs, holder). Batches must not share doc_ids, and come by falling doc_id."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int = 16):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, fanout: int = 4):
+        self.spark, self.fanout = spark, fanout
+        # as many buckets as a shuffle has partitions: a batch's keys then lie as the runs' do, and a task writes one file
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
-        self._tables: list[str] = []
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """lines: (k1, k2, doc_id) of a batch. Returns its run; holder is null for keys that earlier runs have."""
-        each = lines.distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
-        each = self._written(each)
-        for run in [r for level in self.levels for r in level]:
-            new = each.join(run.select("k1", "k2").hint("merge"), ["k1", "k2"], "left_anti")
-            known = each.join(run.select("k1", "k2").hint("merge"), ["k1", "k2"], "left_semi")
-            each = new.unionByName(known.withColumn("holder", F.lit(None).cast("long")))
-        own = self._written(each) if any(self.levels) else each
+        """lines: distinct (k1, k2, doc_id) of a batch. Returns its run; holder is null for keys that earlier runs have."""
+        each = lines.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
+        # a merge of sorted runs; a key that no run has is new here (the anti join), all others only add to their count
+        new = F.lit(True)
+        for n, run in enumerate(r for level in self.levels for r in level):
+            each = each.join(run.select("k1", "k2", F.lit(True).alias(f"_in{n}")).hint("merge"), ["k1", "k2"], "left")
+            new = new & F.col(f"_in{n}").isNull()
+        own = self._written(each.select("k1", "k2", "n_docs", F.when(new, F.col("holder")).alias("holder")))
         self.levels[0].append(own)
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
@@ -88,30 +89,35 @@ class LineRuns:
 
     def all(self) -> DataFrame:
         runs = [r for level in self.levels for r in level]
-        return runs[0] if len(runs) == 1 else self._written(merged(runs))
+        return runs[0] if len(runs) == 1 else merged(runs)
 
     def _written(self, df: DataFrame) -> DataFrame:
         name = f"runs_{uuid.uuid4().hex}"
         path = f"{scratch_root(self.spark)}/{name}"
-        df.repartition(self.buckets, "k1", "k2").write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
-        self._tables.append(name)
+        df.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
         return self.spark.table(name)
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
+    """Sorted runs merged into one: counts add up, a key has at most one holder.
+
+    Outer merge joins of two at a time, without a shuffle as the runs lie in equal buckets. (A union of bucketed tables passes for
+    bucketed in Spark 4.1, but its columnar form doesn't line the buckets up, so an aggregation on it leaves keys apart.)
+    """
     both = runs[0]
     for r in runs[1:]:
-        both = both.unionByName(r)
-    # dealt anew by name: a union of bucketed scans passes for bucketed, but its columnar form doesn't line the buckets up
-    both = both.repartition("k1", "k2")
-    return both.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+        other = r.select("k1", "k2", F.col("n_docs").alias("_n"), F.col("holder").alias("_h"))
+        both = both.join(other.hint("merge"), ["k1", "k2"], "full")
+        n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))
+        both = both.select("k1", "k2", n.alias("n_docs"), F.greatest("holder", "_h").alias("holder"))
+    return both
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 3, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
     """(the keys to drop with their holder, all line hashes of docs). Batches are ranges of doc_id, the largest first."""
-    lines = materialise(line_hashes(docs, least_chars))
+    lines = materialise(line_hashes(docs, least_chars).distinct())
     cuts = sorted(set(lines.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
-    runs = LineRuns(docs.sparkSession)
+    runs = LineRuns(docs.sparkSession, fanout)
     edges = [None, *[int(c) for c in cuts], None]
     for lo, hi in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
         part = lines if hi is None else lines.where(F.col("doc_id") < hi)
