@@ -143,84 +143,6 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     return fit([s for s, p in zip(sets, rows["_p"], strict=True) if p], [s for s, u in zip(sets, rows["_u"], strict=True) if u], prior)
 
 
-def score(self, found: set[int]) -> float:
-        z = self.bias + float(sum(self.weights[k] for k in found))
-        return 1.0 / (1.0 + float(np.exp(-max(-60.0, min(60.0, z)))))
-
-
-def _dense(texts: list[np.ndarray], chosen: list[int]) -> np.ndarray:
-    place = np.full(HASHED, -1, dtype=np.int32)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-    for r, found in enumerate(texts):
-        at = place[found]
-        x[r, at[at >= 0]] = 1.0
-    return x
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 250, rate: float = 0.05, l2: float = 3e-4) -> Model | None:
-    """positive, unlabelled: distinct hashed features of texts, as arrays. None without positives."""
-    if not positive:
-        return None
-    unlabelled = unlabelled or positive
-    n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = np.zeros(HASHED, dtype=np.int32), np.zeros(HASHED, dtype=np.int32)
-    for count, texts in ((in_p, positive), (in_u, unlabelled)):
-        for found in texts:
-            count[found] += 1
-    # likelihood ratio of "as frequent in P as seen" against "as frequent as in U"; below LEAST_GAIN chance explains it
-    p, u = in_p / n_p, (in_u + 1.0) / (n_u + 1.0)
-    gain = np.where((in_p >= 3) & (p > 2 * u), in_p * np.log(np.maximum(p, 1e-12) / u), 0.0)
-    gain[gain < LEAST_GAIN] = 0.0
-    chosen = [int(f) for f in np.argsort(-gain, kind="stable")[:FEATURES] if gain[f] > 0]
-    place = {f: k for k, f in enumerate(chosen)}
-    x_p, x_u = _dense(positive, chosen), _dense(unlabelled, chosen)
-    w, b = np.zeros(len(place), dtype=np.float32), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(place) + 1, dtype=np.float32), np.zeros(len(place) + 1, dtype=np.float32)
-    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
-    softplus = lambda z: np.logaddexp(0.0, z)
-    for t in range(1, steps + 1):
-        z_p, z_u = x_p @ w + np.float32(b), x_u @ w + np.float32(b)
-        s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-        # logistic losses: R_P(+1) of softplus(-z), R(-1) of softplus(z)
-        d_pos = np.append(x_p.T @ (s_p - 1), (s_p - 1).sum()) / n_p
-        d_neg = np.append(x_u.T @ s_u, s_u.sum()) / n_u - prior * np.append(x_p.T @ s_p, s_p.sum()) / n_p
-        bracket = softplus(z_u).mean() - prior * softplus(z_p).mean()
-        g = prior * d_pos + d_neg if bracket >= 0 else -d_neg
-        g = g + np.append(l2 * w, 0.0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        w, b = w - step[:-1], b - float(step[-1])
-    return Model(place, w.astype(np.float64), b, prior)
-
-
-def _remainder(doc_id: str) -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
-
-
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED, seed: int = 42) -> Model | None:
-    """Fits on confirmed toxic rows of labels(doc_id, toxic) outside the held-out fold, and on unlabelled text of docs."""
-    open_ = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (_remainder("doc_id") != 2))
-    prior = open_.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    prior = float(min(0.9, max(0.01, prior)))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    toxic = open_.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_toxic).withColumn("_p", F.lit(True))
-    others = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(most_unlabelled).distinct().withColumn("_u", F.lit(True))
-    # most_toxic + most_unlabelled ids at most
-    wanted = toxic.join(others, "doc_id", "full").select(F.col("doc_id").alias("_id"), F.coalesce("_p", F.lit(False)).alias("_p"), F.coalesce("_u", F.lit(False)).alias("_u"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "_p", "_u", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            found = [np.array(sorted(hasher(t.as_py())), dtype=np.int32).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["doc_id", "_p", "_u", "f"])
-
-    rows = texts.mapInArrow(run, "doc_id long, _p boolean, _u boolean, f binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    sets = [set(np.frombuffer(f, dtype=np.int32).tolist()) for f in rows["f"]]
-    return fit([s for s, p in zip(sets, rows["_p"], strict=True) if p], [s for s, u in zip(sets, rows["_u"], strict=True) if u], prior)
-
-
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score of each row of docs(doc_id, text)."""
 
