@@ -42,7 +42,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20, 0),
 )
 _SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
-MARK, OTHER = "", ""
+MARK, OTHER = "\ue000", "\ue001"
 
 
 def _none() -> Column:
