@@ -12,6 +12,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from operator import eq
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_FITTED, HASHED = 8000, 512
-_CACHED = 200_000
+_CACHED = 400_000
 
 #: Frequent function words of English, German, French and Spanish.
 STOPWORDS = frozenset(
@@ -51,6 +52,9 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _WINDOW = 50
+_RUN, _POINTS = re.compile(rb"(.)\1+", re.DOTALL), b".,;:!?\"'()"
+_STOP = frozenset(w.encode() for w in STOPWORDS)
+_LONGEST = max(map(len, _STOP))
 
 
 class Reader:
@@ -59,36 +63,41 @@ class Reader:
     def __init__(self, hashed: int = HASHED):
         self.hashed, self.known = hashed, {}
 
-    def _word(self, w: bytes) -> tuple[int, bool, bool, bool, bool]:
-        """Hash of the word's shape; whether it is a stopword, shouted, without letters, wrapped in marks."""
-        own = self.known.get(w)
-        if own is None:
-            if len(self.known) >= _CACHED:
-                self.known.clear()
-            shape = w.translate(_SHAPE)
-            short = bytes(c for k, c in enumerate(shape) if k == 0 or shape[k - 1] != c)
-            bare = w.strip(b".,;:!?\"'()")
-            letters = bytes(c for c in shape if c in b"aA")
-            own = (xxhash.xxh32_intdigest(short) % self.hashed, bare.lower().decode("utf-8", "replace") in STOPWORDS, w.endswith(b"!!") or len(letters) > 1 and letters.count(b"A") == len(letters), not letters and b"0" not in shape, len(letters) > 0 and w.strip(b".,;:!?\"'()-") != w.strip(b".,;:!?\"'()-#$%&*@^~|<>=_"))
-            self.known[w] = own
-        return own
+    def _word(self, w: bytes) -> int:
+        """The word as one number: bits 0-3 stopword, shouted, without letters, wrapped in marks; above them its shape's hash."""
+        shape = w.translate(_SHAPE)
+        short = _RUN.sub(rb"\1", shape)
+        capitals = shape.count(b"A")
+        letters = capitals + shape.count(b"a")
+        bare = w.strip(_POINTS)
+        stop = len(bare) <= _LONGEST and bare.lower() in _STOP
+        shout = w.endswith(b"!!") or letters > 1 and capitals == letters
+        marks = not letters and b"0" not in shape
+        wrapped = letters > 0 and bare.strip(b"-") != w.strip(_POINTS + b"-#$%&*@^~|<>=_")
+        return (xxhash.xxh32_intdigest(short) % self.hashed) << 4 | stop | shout << 1 | marks << 2 | wrapped << 3
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
         """(statistics, hashed frequencies) of a UTF-8 text; None without words."""
         words = (text or b"").split()
         if not words:
             return None
-        n = len(words)
+        n, known = len(words), self.known
+        codes = list(map(known.get, words))
+        if None in codes:
+            if len(known) >= _CACHED:
+                known.clear()
+            for k, c in enumerate(codes):
+                if c is None:
+                    codes[k] = known[words[k]] = self._word(words[k])
+        codes = np.array(codes, dtype=np.int64)
         count = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
         letters = max(1, int(count[_LETTER].sum()))
-        known = [self._word(w) for w in words]
         same = sum(map(eq, words[1:], words))
         # distinct words of each run of 50, weighted by its length: whole texts of any length compare
         distinct = sum(len(set(words[k : k + _WINDOW])) for k in range(0, n, _WINDOW))
-        columns = np.array(known, dtype=np.int64)
-        rates = columns[:, 1:].sum(axis=0) / n
-        stats = np.array([count[_SYMBOLS].sum() / len(text), count[_CAPITAL].sum() / letters, same / n, distinct / n, rates[1], rates[2], rates[0], rates[3]])
-        return stats, np.bincount(columns[:, 0], minlength=self.hashed) / n
+        stop, shout, marks, wrapped = (int((codes >> k & 1).sum()) / n for k in range(4))
+        stats = np.array([count[_SYMBOLS].sum() / len(text), count[_CAPITAL].sum() / letters, same / n, distinct / n, shout, marks, stop, wrapped])
+        return stats, np.bincount(codes >> 4, minlength=self.hashed) / n
 
 
 def votes(stats: np.ndarray | None) -> list[int]:
