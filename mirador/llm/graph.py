@@ -35,10 +35,10 @@ def _mark(pairs: DataFrame) -> tuple:
 
 
 def _large(pairs: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to its smallest neighbour, itself included."""
+    """Each node links its larger neighbours to its smallest neighbour, itself included. Repeats go in the step after."""
     both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select("lo", "hi"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small(pairs: DataFrame) -> DataFrame:
