@@ -45,10 +45,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_powers_of: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    """The first n powers modulo 2^64; those of texts up to 65 536 words are kept."""
+    kept = _powers_of.get(base)
+    if kept is None or len(kept) < n:
+        p = np.full(max(n, 1 << 16), base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        p[0] = 1
+        kept = np.cumprod(p, dtype=np.uint64)
+        if n <= 1 << 16:
+            _powers_of[base] = kept
+    return kept[:n]
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -64,8 +73,9 @@ def anchors(hashes: np.ndarray, of: int) -> np.ndarray:
     """Places of the least hash, the last of equals, in each run of `of`; none if there are fewer."""
     if len(hashes) < of:
         return np.empty(0, dtype=np.int64)
-    runs = sliding_window_view(hashes[::-1], of)
-    return np.unique(len(hashes) - 1 - (np.arange(len(runs)) + runs.argmin(axis=1)))
+    runs = sliding_window_view(np.ascontiguousarray(hashes[::-1]), of)
+    at = np.arange(len(runs)) + runs.argmin(axis=1)
+    return (len(hashes) - 1 - at[np.flatnonzero(np.diff(at, append=-1))])[::-1]  # at never falls
 
 
 _rng = np.random.default_rng(20240229)
@@ -73,13 +83,22 @@ _A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + n
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of shingle hashes."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values of a set of shingle hashes. These are mixed already, so a product orders them anew."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 4096):  # a bounded table at a time
+            least = np.minimum(least, ((shingles[at : at + 4096] ^ _B[:, None]) * _A[:, None]).min(axis=1))
+    return least
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature."""
     with np.errstate(over="ignore"):
-        least = np.array([_mixed(shingles * a + b).min() for a, b in zip(_A, _B, strict=True)], dtype=np.uint64).reshape(BANDS, ROWS)
-        key = np.arange(BANDS, dtype=np.uint64)
+        rows = signatures.reshape(-1, BANDS, ROWS)
+        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(rows), 1))
         for r in range(ROWS):
-            key = _mixed(key * np.uint64(_BASE) + least[:, r])
+            key = _mixed(key * np.uint64(_BASE) + rows[:, :, r])
     return key.view(np.int64)
 
 
@@ -102,15 +121,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     known.clear()
                 for w in set(words):
                     if w not in known:
-                        known[w] = xxhash.xxh3_64_intdigest(w)
-                h = np.array([known[w] for w in words], dtype=np.uint64)
+                        known[w] = xxhash.xxh3_64_intdigest(w) >> 1
+                h = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
                 at, five = 0, grams(h, SHINGLE)
                 for line in lines:
                     n = len(line)
                     if n >= LEAST_WORDS:
                         own = np.unique(five[at : at + n - SHINGLE + 1])
                         key = xxhash.xxh3_64_intdigest(h[at : at + n].tobytes())
-                        of_lines.append((np.uint64(key).astype(np.int64), doc, at, at + n, bands(own), np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)))
+                        of_lines.append((np.uint64(key).astype(np.int64), doc, at, at + n, signature(own), np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)))
                     at += n
                 windows = grams(h, WINDOW)
                 places = anchors(windows, LEAST_WORDS - WINDOW + 1)
@@ -122,7 +141,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 yield _rows(False, key, own, at, at + np.int32(WINDOW), None, None)
             if of_lines:
                 key, own, lo, hi, b, s = zip(*of_lines, strict=True)
-                yield _rows(True, np.array(key), np.array(own), np.array(lo, dtype=np.int32), np.array(hi, dtype=np.int32), b, s)
+                yield _rows(True, np.array(key), np.array(own), np.array(lo, dtype=np.int32), np.array(hi, dtype=np.int32), band_keys(np.array(b)), s)
 
     def _rows(line, key, own, lo, hi, b, s) -> pa.RecordBatch:
         n = len(key)
