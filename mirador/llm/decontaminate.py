@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, LEAST_BYTES, SLICE_BYTES = 0.08, 24, 4_000_000
+RATE, LEAST_BYTES, SLICE_BYTES = 0.10, 24, 4_000_000
 #: ASCII letters and all bytes of longer characters stay, all else is a blank.
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
