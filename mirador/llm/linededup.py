@@ -68,6 +68,7 @@ class LineRuns:
         # as many buckets as a shuffle has partitions: a batch's keys then lie as the runs' do, and a task writes one file
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
+        self._names: list[str] = []
 
     def add(self, lines: DataFrame) -> DataFrame:
         """lines: distinct (k1, k2, doc_id) of a batch. Returns its run; holder is null for keys that earlier runs have."""
@@ -91,10 +92,16 @@ class LineRuns:
         runs = [r for level in self.levels for r in level]
         return runs[0] if len(runs) == 1 else merged(runs)
 
+    def close(self) -> None:
+        """Takes the runs' names out of the catalog; their files go with the scratch folder."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def _written(self, df: DataFrame) -> DataFrame:
         name = f"runs_{uuid.uuid4().hex}"
         path = f"{scratch_root(self.spark)}/{name}"
         df.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
+        self._names.append(name)
         return self.spark.table(name)
 
 
@@ -124,7 +131,9 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
         # the smallest range also has the rows without doc_id
         part = part.where(F.col("doc_id") >= lo) if lo is not None else (lines.where(F.col("doc_id").isNull() | (F.col("doc_id") < hi)) if hi is not None else part)
         runs.add(part)
-    return runs.all().where(F.col("n_docs") >= least_docs).select("k1", "k2", "holder"), lines
+    found = materialise(runs.all().where(F.col("n_docs") >= least_docs).select("k1", "k2", "holder"))
+    runs.close()
+    return found, lines
 
 
 def _kept(doc: int | None, text: bytes | None, drop, least: int) -> tuple[int, int, bytes]:
@@ -137,7 +146,6 @@ def _kept(doc: int | None, text: bytes | None, drop, least: int) -> tuple[int, i
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, lookup_keys: int = LOOKUP_KEYS, digest: bool = False) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_lines, n_dropped and kept (the text that stays, or with digest its SHA-256)."""
     found, lines = repeated_lines(docs, least_chars, least_docs)
-    found = materialise(found)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
     n = found.count()
     looked: dict | None = None
