@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_UNLABELLED = 6000, 10_000
+MOST_TOXIC, MOST_UNLABELLED = 4000, 8000
 FEATURES, HASHED, LEAST_GAIN = 512, 1 << 20, 12.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
