@@ -8,6 +8,9 @@ Words are runs without blanks, in lower case (A-Z), whatever the line breaks bet
   every LEAST_WORDS - WINDOW + 1 windows in a row, the one whose MinHash value is least, so any passage of LEAST_WORDS words that two
   documents share holds a window that both take. Of equal words all bands are equal: one key and equality decide.
 
+Winnowed windows miss up to 19 words at each end of a passage, so a second pass finds its ends: of each run of LEAST_WORDS words whose
+winnowed window repeats, the hash is compared too. All such runs that a smaller doc_id has are removed, hence whole common passages.
+
 Equal or linked paragraphs form clusters by connected components. A cluster that lies in two documents or more is a repeat; it is
 kept in the document with the smallest doc_id and removed from all others. Documents are classed by the components that their
 repeats make.
@@ -69,13 +72,28 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
         return _mixed((upto[k:] - upto[:-k]) * _powers(_BACK, len(words) - k + 1))
 
 
-def anchors(hashes: np.ndarray, of: int) -> np.ndarray:
-    """Places of the least hash, the last of equals, in each run of `of`; none if there are fewer."""
+def winnowed(hashes: np.ndarray, of: int) -> np.ndarray:
+    """The place of the least hash, the last of equals, for each run of `of`; none if there are fewer."""
     if len(hashes) < of:
         return np.empty(0, dtype=np.int64)
     runs = sliding_window_view(np.ascontiguousarray(hashes[::-1]), of)
-    at = np.arange(len(runs)) + runs.argmin(axis=1)
-    return (len(hashes) - 1 - at[np.flatnonzero(np.diff(at, append=-1))])[::-1]  # at never falls
+    return (len(hashes) - 1 - (np.arange(len(runs)) + runs.argmin(axis=1)))[::-1]
+
+
+def anchors(hashes: np.ndarray, of: int) -> np.ndarray:
+    """The places that winnowing takes, each once."""
+    at = winnowed(hashes, of)
+    return at[np.flatnonzero(np.diff(at, append=-1))]  # at never falls
+
+
+def hashed(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """A 64-bit hash of each word; known remembers a bounded number of them."""
+    if len(known) > _CACHED:
+        known.clear()
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w) >> 1
+    return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
 
 
 _rng = np.random.default_rng(20240229)
@@ -117,12 +135,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 words = [w for line in lines for w in line]
                 if len(words) < LEAST_WORDS:
                     continue
-                if len(known) > _CACHED:
-                    known.clear()
-                for w in set(words):
-                    if w not in known:
-                        known[w] = xxhash.xxh3_64_intdigest(w) >> 1
-                h = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
+                h = hashed(words, known)
                 at, five = 0, grams(h, SHINGLE)
                 for line in lines:
                     n = len(line)
@@ -174,7 +187,7 @@ def _similar(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarra
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, word_from, word_to, keeper): each paragraph whose cluster lies in several documents; keeper: the smallest of these."""
+    """(line, doc_id, word_from, word_to, keeper): each paragraph whose cluster lies in several documents; keeper: the smallest of these."""
     all_ = materialise(paragraphs(docs))
     lines = all_.where("line").select("key", "bands", "shingles").dropDuplicates(["key"])
     lines = materialise(lines.withColumnRenamed("key", "node"))
@@ -188,7 +201,46 @@ def repeats(docs: DataFrame) -> DataFrame:
         all_.where("line").select(*place).join(labels, "key", "left").select(F.lit(True).alias("line"), F.coalesce("component", "key").alias("key"), *place[1:])
     )
     clusters = own.groupBy("line", "key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last")
-    return own.join(clusters.drop("_last"), ["line", "key"]).select("doc_id", "word_from", "word_to", "keeper")
+    return own.join(clusters.drop("_last"), ["line", "key"]).select("line", "doc_id", "word_from", "word_to", "keeper")
+
+
+def removed_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, runs): the maximal word ranges of each document that are made of runs of LEAST_WORDS words which a document with a
+    smaller doc_id has. Equal runs have the same winnowed window, so only those whose window is in found (of repeats) can be."""
+    hits = materialise(found.where("not line").groupBy("doc_id").agg(F.collect_set("word_from").alias("_hits")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).join(hits, "doc_id")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                words = (text.as_py() or b"").lower().split()
+                if len(words) < LEAST_WORDS:
+                    continue
+                h = hashed(words, known)
+                hit = np.zeros(len(words), dtype=bool)
+                at = own.values.to_numpy(zero_copy_only=False)
+                hit[at[at < len(words)]] = True  # rows of one doc_id may have texts of several lengths
+                at = np.flatnonzero(hit[winnowed(grams(h, WINDOW), LEAST_WORDS - WINDOW + 1)])
+                key = grams(h, LEAST_WORDS)[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), doc), pa.int64()), pa.array(at.astype(np.int32))], ["key", "doc_id", "word_from"])
+
+    runs = materialise(slim.select("doc_id", "_text", "_hits").mapInArrow(near, "key long, doc_id long, word_from int"))
+    keepers = runs.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last")
+    gone = runs.join(keepers.drop("_last"), "key").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("word_from").alias("_at"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column(1):
+                at = np.sort(own.values.to_numpy(zero_copy_only=False))
+                cut = np.flatnonzero(np.diff(at) > LEAST_WORDS) + 1
+                lo, hi = at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))] + LEAST_WORDS
+                out.append([{"word_from": a, "word_to": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("word_from", pa.int32()), ("word_to", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "runs"])
+
+    return gone.mapInArrow(joined, "doc_id long, runs array<struct<word_from:int,word_to:int>>")
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -208,6 +260,8 @@ def documents(docs: DataFrame) -> DataFrame:
         joined = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(last["word_from"].alias("word_from"), F.greatest(last["word_to"], s["word_to"]).alias("word_to"))))
         return F.when(apart, F.concat(acc, F.array(s))).otherwise(joined)
 
+    by = by.join(removed_runs(docs, found), "doc_id", "left")
+    by = by.withColumn("_spans", F.array_sort(F.concat("_spans", F.coalesce("runs", F.array().cast(ranges))))).drop("runs")
     by = by.withColumn("removed", F.aggregate("_spans", F.array().cast(ranges), widen)).drop("_spans")
     by = by.withColumn("words_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + (s["word_to"] - s["word_from"])))
     labels = components(found.where(gone).select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")))

@@ -184,3 +184,23 @@ def test_near_lines_by_jaccard(spark):
     df = spark.createDataFrame([(1, " ".join(line[:140])), (2, " ".join(other)), (3, " ".join(far))], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in substring.op3_substring_dedup(df).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_removed_passages_are_whole(spark):
+    rng = random.Random(21)
+    some = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    docs, want = {k: some(30) for k in range(40)}, {}
+    for k in range(0, 40, 2):
+        passage = some(51 + 4 * k)
+        docs[k][11:11] = passage
+        docs[k + 1][17:17] = passage
+        want[k + 1] = [(17, 17 + len(passage))]
+    # ends that a document shares with another than the first
+    long_ = some(90)
+    for d, part in ((50, long_[15:70]), (51, long_), (52, long_)):
+        docs[d] = some(9) + part + some(9)
+    want |= {51: [(9 + 15, 9 + 70)], 52: [(9, 99)]}
+    rows = [(d, "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7))) for d, w in docs.items()]
+    found = {r["doc_id"]: r for r in substring.documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: [tuple(s) for s in r["removed"]] for d, r in found.items() if r["removed"]} == want
+    assert all(found[d]["words_removed"] == sum(b - a for a, b in s) for d, s in want.items())
