@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.blocks import linked
-from mirador.llm.common import materialise
+from mirador.llm.common import materialise, with_row_id
 from mirador.llm.graph import components
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
@@ -103,7 +103,8 @@ def _close(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep (doc_id among them), _fp and component_id: the smallest doc_id that links reach, each row of docs."""
+    """The columns keep (doc_id among them), _fp, _class (of linked fingerprints) and component_id: the smallest doc_id that links
+    reach, each row of docs."""
     prints = materialise(fingerprints(docs, keep))
     distinct = materialise(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
     # a count for each of the 2048 postings at most
@@ -119,7 +120,7 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     reached = distinct.join(labels, distinct["_fp"] == labels["node"], "left").select("_fp", F.coalesce("component", "_fp").alias("_class"), "_least")
     # classes of distinct fingerprints: the smallest doc_id of each, back to its fingerprints
     smallest = reached.groupBy("_class").agg(F.min("_least").alias("component_id"))
-    by_fp = reached.join(smallest, "_class").select("_fp", "component_id")
+    by_fp = reached.join(smallest, "_class").select("_fp", "_class", "component_id")
     return prints.join(by_fp, "_fp")
 
 
@@ -130,13 +131,11 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group the rows' one with the smallest doc_id stays; documents without doc_id stay
-    if no document of their group has one."""
-    found = near_duplicates(docs, ["doc_id"]).where("doc_id <=> component_id")
-    stay = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_fp").alias("_fp"))
-    repeated = stay.where("doc_id is not null and _n > 1").limit(1).count() > 0
-    kept = docs.join(stay.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    if repeated:  # rows of one doc_id: one of them stays
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+    """docs without near-duplicates: one row of each component stays, one with the smallest doc_id; of a class of fingerprints in
+    which no row has a doc_id, one row. Rows of one doc_id that make one component (also those of unlike texts) are one document:
+    the row with the least fingerprint stays."""
+    rows = with_row_id(docs)
+    found = near_duplicates(rows, ["doc_id", "_rid"]).where("doc_id <=> component_id")
+    group = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_class")).alias("_class"))
+    stay = group.agg(F.min(F.struct("_fp", "_rid")).alias("_least")).select("_least._rid")
+    return rows.join(stay.hint("shuffle_hash"), "_rid", "left_semi").select(*docs.columns)

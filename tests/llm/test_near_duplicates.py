@@ -204,3 +204,13 @@ def test_removed_passages_are_whole(spark):
     found = {r["doc_id"]: r for r in substring.documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: [tuple(s) for s in r["removed"]] for d, r in found.items() if r["removed"]} == want
     assert all(found[d]["words_removed"] == sum(b - a for a, b in s) for d, s in want.items())
+
+
+def test_one_of_each_by_row(spark):
+    rng = random.Random(13)
+    some = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d = some(), some(), some(), some()
+    # copies without an id of a document with one; a class without ids; an id whose one text is a copy and the other isn't
+    rows = [(1, a), (None, a), (None, a), (None, b), (None, b), (None, c), (5, a), (5, d), (5, a)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", a), ("None", b), ("None", c), ("5", d)])
