@@ -1,15 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are normalised: lower case, everything but letters of any script becomes one blank. An item of n bytes may differ
+Texts and items are normalised: lower case, everything but letters of any script and digits becomes one blank. An item of n bytes may differ
 from a passage by k = max(1, n * RATE) edits; it is split into k + 1 pieces, one of which must occur exactly. All pieces of all items
 are found in one pass over a text (Aho-Corasick). A hit is verified up the halves of its item: if a node of p pieces has a match of
 at most p - 1 edits, so has one of its halves, hence a hit counts only if the node above it matches with its own budget, and so on to
 the whole item, with Myers' bit-parallel distance (1999) on the bytes around the hit. The budgets add up, so no match is missed.
 
 Items are taken to the executors in slices of at most SLICE_BYTES, one pass over the texts for each, so any number of items can be
-held against the corpus. Items whose normalised text is shorter than LEAST_BYTES are matched as whole words, exactly.
+held against the corpus. Items whose normalised text is shorter than LEAST_BYTES are matched as whole words, exactly. If less than half
+of such an item are letters (12 * 7 = 84), its signs count: it is matched on words that keep them, in lower case and without the
+punctuation marks at their ends; its places are those in that text.
 
-Defined results: null, empty and blank texts match nothing, nor do items without letters; items of equal normalised text are each
+Defined results: null, empty and blank texts match nothing, nor do items of punctuation marks only; items of equal normalised text are each
 reported; repeated rows are reported each; null ids are carried as null; empty tables give no rows.
 """
 
@@ -23,14 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE, LEAST_BYTES, SLICE_BYTES = 0.10, 24, 4_000_000
-#: ASCII letters and all bytes of longer characters stay, all else is a blank.
-_TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: ASCII letters, digits and all bytes of longer characters stay, all else is a blank.
+_TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_MARKS = b".,;:!?\"'`()[]{}"
 
 
 def normalised(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_TABLE).split())
 
 
+def signed(text: str | None) -> bytes:
+    """The words with their signs, without the punctuation marks at their ends."""
+    return b" ".join(w for word in (text or "").lower().encode("utf-8", "replace").split() if (w := word.strip(_MARKS)))
+
+
+def by_signs(text: str) -> bool:
+    """Whether an item is matched by its signed words: it is short and less than half of it are letters."""
+    bare = signed(text).replace(b" ", b"")
+    return len(normalised(text)) < LEAST_BYTES and 2 * sum(97 <= b <= 122 or b >= 128 for b in bare) < len(bare)
+
+
 def myers(pattern: bytes, text: bytes, most: int, masks: dict[int, int] | None = None) -> tuple[int, int] | None:
     """(distance, end) of the best match of the pattern anywhere in the text with at most `most` edits; the earliest of these."""
     m = len(pattern)
@@ -88,11 +102,12 @@ def _leaves(item: bytes, cuts: list[int], first: int, last: int, up: Node | None
 class Matcher:
     """Items (key, normalised text), ready to be found in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE, least: int | None = LEAST_BYTES):
+        """Items of fewer than `least` bytes are matched as whole words, exactly; without it all are."""
         self.items = items
         words: dict[bytes, list] = {}
         for n, (_, item) in enumerate(items):
-            if len(item) < LEAST_BYTES:
+            if least is None or len(item) < least:
                 words.setdefault(b" " + item + b" ", []).append((n, None))
                 continue
             k = max(1, int(len(item) * rate))
@@ -181,15 +196,24 @@ def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
     return Matcher([(k, t) for k, text in items if (t := normalised(text))], rate)
 
 
+def _both(items: list[tuple[int, str]], rate: float):
+    """A function from a text to the (item_id, start, stop, distance) that it holds."""
+    plain = _matcher([(k, t) for k, t in items if not by_signs(t)], rate)
+    # exact whole words, whatever their length
+    exact = Matcher([(k, signed(t)) for k, t in items if by_signs(t)], rate, least=None)
+
+    def found(text: str | None) -> list[tuple[int, int, int, int]]:
+        hits = [(plain.items[n][0], *hit) for n, *hit in plain(normalised(text))]
+        return hits + [(exact.items[n][0], *hit) for n, *hit in exact(signed(text))] if exact.any else hits
+
+    return found
+
+
 def _finder(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(items, rate)
+        found = _both(items, rate)
         for batch in batches:
-            out = [
-                (doc, matcher.items[n][0], start, stop, distance)
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                for n, start, stop, distance in matcher(normalised(text.as_py()))
-            ]
+            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in found(text.as_py())]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "stop", "distance"])
@@ -203,9 +227,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     for part in slices(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(part, rate)
+            found = _both(part, rate)
             for batch in batches:
-                keep = pa.array([not matcher(normalised(t.as_py())) for t in batch.column(len(names))], pa.bool_())
+                keep = pa.array([not found(t.as_py()) for t in batch.column(len(names))], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(keep)
 
         schema = docs.schema

@@ -121,3 +121,11 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 6]
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
     assert decontaminate.op9_decontaminate(docs, bench.limit(0)).count() == 0
+
+
+def test_items_of_numbers_and_signs(spark):
+    bench = spark.createDataFrame([(1, "12 * 7 = 84"), (2, "Compute 345 + 678"), (3, "12 + 7 = 84"), (4, " ... ")], "item_id long, text string")
+    rows = [(1, "so (12 * 7 = 84), he said"), (2, "we compute it"), (3, "COMPUTE  345 + 678!"), (4, "compute 345 + 679"), (5, "12 + 7 = 84."), (6, "112 * 7 = 84")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.op9_decontaminate(docs, bench).collect()} == {(1, 1), (3, 2), (5, 3)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 6]
