@@ -134,3 +134,11 @@ def test_empty_inputs(spark):
     assert metrics.latency(spark.createDataFrame([], "face_ms double, text_ms double, logo_ms double"), 5).first()["fps_ceiling"] is None
     none = frames.first_frames(spark.createDataFrame([("v", 0)], "video_id string, frame_idx int"), 0)
     assert none.count() == 0
+
+
+def test_checklist_report_holds_all_videos(spark):
+    from mirador.plans import report
+
+    rows = spark.range(1300).selectExpr("concat('v', lpad(id div 13, 3, '0')) AS video_id", "concat('c', lpad(id % 13, 2, '0')) AS check_name", "0.5D AS value", "0.4D AS threshold", "true AS passed")
+    lines = report.checklist(rows.repartition(5)).split("\n")[2:]
+    assert len(lines) == 1300 and lines == sorted(lines)
