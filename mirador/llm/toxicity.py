@@ -4,8 +4,8 @@ A text is the set of its words and of their first 4, 5 and 6 letters, hashed. Fr
 (U) the features that P has far more often than U are chosen, then a logistic classifier is fitted to the class-prior-corrected
 risk prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1)); where the bracket is negative, its gradient is reversed, as published.
 
-Fitting reads at most MOST_TOXIC confirmed toxic texts and MOST_UNLABELLED others, chosen by hash of doc_id; that bound is the
-only one: every text is scored whole. Labels of held-out rows are never read; lang, source and doc_id aren't features.
+Fitting reads at most MOST_TOXIC confirmed toxic texts and MOST_UNLABELLED others, chosen by hash of doc_id, and the
+classifier takes the FEATURES of most gain (a word has up to four). These are the only bounds: every text is scored whole. Labels of held-out rows are never read; lang, source and doc_id aren't features.
 
 Defined results: null and empty texts have no features and get the score of the bias; repeated rows are scored each; null
 doc_ids are scored, held out if the CRC of the empty text says so, and never used as labels; without a confirmed toxic text every
