@@ -161,6 +161,13 @@ def _linear(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, l
     return w[:-1].astype(float), float(w[-1])
 
 
+def fitted_texts(docs: DataFrame, most: int, seed: int) -> DataFrame:
+    """(doc_id, text) of `most` documents at most, the first by hash of doc_id; of rows with one doc_id, the least text."""
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, most_fitted: int = MOST_FITTED, seed: int = 42) -> Model:
     """Votes of all docs(doc_id, text) give the posterior labels; those of a bounded sample train the scorer."""
     slim = docs.select(F.col("text").cast("binary").alias("text"))
@@ -180,8 +187,7 @@ def train(docs: DataFrame, most_fitted: int = MOST_FITTED, seed: int = 42) -> Mo
     good, share, accuracies = em(patterns, counts)
     posterior = {tuple(p): float(g) for p, g in zip(patterns.tolist(), good, strict=True)}
 
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_fitted).distinct()
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text")
+    sample = fitted_texts(docs, most_fitted, seed).select("text")
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()

@@ -91,3 +91,12 @@ def test_em_finds_the_bad_labeller():
 def test_registry():
     assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 11)}
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_repeated_ids_leave_the_sample_whole(spark):
+    from pyspark.sql import functions as F
+
+    first = spark.range(50).orderBy(F.xxhash64("id", F.lit(42)), "id").first()["id"]
+    rows = [(k, f"text {k}") for k in range(50)] + [(first, f"copy {k}") for k in range(200)]
+    found = quality.fitted_texts(spark.createDataFrame(rows, "doc_id long, text string"), 20, 42).collect()
+    assert len(found) == len({r["doc_id"] for r in found}) == 20 and first in {r["doc_id"] for r in found}
