@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirador.llm.common import materialise
+
 BLOCK = 2048
+#: Numbers in the payloads of a block, 4 MB as 32-bit ones.
+BLOCK_WEIGHT = 1 << 20
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -30,15 +34,22 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(r)) for i, r in enumerate(root) if i != r]
 
 
-def linked(rows: DataFrame, key: str, node: str, links: Callable[[list, list, bool], tuple[np.ndarray, np.ndarray]], payloads: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def linked(
+    rows: DataFrame, key: str, node: str, links: Callable[[list, list, bool], tuple[np.ndarray, np.ndarray]], payloads: DataFrame | None = None,
+    block: int = BLOCK, weight: str | None = None, most: int = BLOCK_WEIGHT,
+) -> DataFrame:
     """(a, b): a forest of the links within each key. rows: distinct (key long, node long); payloads: (node, payload), a row a
-    node, brought only to nodes that meet others; without it a node is its own payload.
+    node, brought only to nodes that meet others; without it a node is its own payload. weight: a column of rows, the length of the
+    payload; a block holds `block` rows and `most` of that in the mean, so long payloads make more blocks.
 
     links(payloads of one block, of another, same block) gives the index pairs that verify; it may hold block * block
     numbers at a time, no more.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    dealt = rows.join(counts, key).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    heavy = F.sum(weight) if weight else F.lit(0)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / block), F.ceil(heavy / most)).cast("int").alias("_blocks"))
+    # written, so that the rows of a frequent key are the skewed side of a join, which adaptive execution deals out
+    counts = materialise(counts.where("_n > 1").drop("_n"))
+    dealt = rows.join(counts, key)
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
     # a row meets the rows of each other block once: in the pair of its own block and that one
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

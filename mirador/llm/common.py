@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,17 +18,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _scratch: dict[str, str] = {}
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage: below spark.checkpoint.dir, which all executors share.
+    """The folder for tables that cut lineage: below spark.checkpoint.dir, or else the context's checkpoint folder; all executors share it.
 
-    Only where that setting is missing (tests, a laptop) a folder of this machine is set up for the session.
+    Only where neither is set and the master is local (tests, a laptop) a folder of this machine is set up for the session.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        root = spark.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
             root = "file://" + tempfile.mkdtemp(prefix="mirador-")
             spark.sparkContext.setCheckpointDir(root)
         _scratch[app] = f"{root.rstrip('/')}/mirador-{app}"
@@ -43,11 +50,50 @@ def _clear(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of a write as soon as it is done: what is written no longer needs them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df once to the shared scratch folder and read it back: a lost executor costs a reread, not a rerun."""
     path = path or f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the files of tables from materialise() that nothing reads any more."""
+    for df in written:
+        if path := _written.pop(df, None):
+            _clear(df.sparkSession, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ before it as it takes for no column of df to be called so, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:

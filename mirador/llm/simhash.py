@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.blocks import linked
-from mirador.llm.common import materialise, with_row_id
+from mirador.llm.common import all_of, free_name, materialise, with_row_id
 from mirador.llm.graph import components
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
@@ -131,11 +131,12 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: one row of each component stays, one with the smallest doc_id; of a class of fingerprints in
-    which no row has a doc_id, one row. Rows of one doc_id that make one component (also those of unlike texts) are one document:
-    the row with the least fingerprint stays."""
-    rows = with_row_id(docs)
-    found = near_duplicates(rows, ["doc_id", "_rid"]).where("doc_id <=> component_id")
-    group = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_class")).alias("_class"))
-    stay = group.agg(F.min(F.struct("_fp", "_rid")).alias("_least")).select("_least._rid")
-    return rows.join(stay.hint("shuffle_hash"), "_rid", "left_semi").select(*docs.columns)
+    """docs without near-duplicates: of each class of linked fingerprints one row stays, the one with the smallest doc_id (null after
+    all others; of equal doc_ids the row that is read first). Rows are judged by their texts: rows that share a doc_id but not a class
+    are documents of their own. All columns are returned, whatever their names."""
+    rid = free_name(docs, "_rid")
+    rows = with_row_id(docs, rid)
+    found = near_duplicates(rows.select("doc_id", "text", F.col(rid).alias("_rid")), ["doc_id", "_rid"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("_first")
+    stay = found.groupBy("_class").agg(first).select(F.col("_first._rid").alias(rid))
+    return rows.join(stay.hint("shuffle_hash"), rid, "left_semi").select(*all_of(docs))

@@ -77,9 +77,25 @@ def test_simhash_links_by_bits(spark):
 def test_one_of_each_stays(docs, rows):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    component = {r["doc_id"]: r["component_id"] for r in simhash.op7_simhash(docs).collect()}
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({d for d, c in component.items() if d is not None and d == c})
+    prints = [slow_fingerprint(r[1]) for r in rows]
+    own = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    first = {}
+    for k, r in enumerate(rows):
+        first.setdefault(own[k], []).append((r[0] is None, r[0] or 0))
+    want = sorted(min(v) for v in first.values())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == want
+
+
+def test_rows_of_one_id_and_unlike_texts_both_stay(spark):
+    rng = random.Random(17)
+    some = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c = some(), some(), some()
+    names = ["doc_id", "text", "_rid", "__rid", "a.b", "_fp", "_class", "component_id", "doc_id_"]
+    rows = [(5, a), (5, b), (5, a), (7, b), (None, a), (None, c), (None, c)]
+    df = spark.createDataFrame([(*r, *[1] * 7) for r in rows], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names)).repartition(3)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == names
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("5", a), ("5", b), ("None", c)])
 
 
 def test_empty(spark, empty):
