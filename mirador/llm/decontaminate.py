@@ -1,15 +1,19 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are normalised: lower case, everything but letters of any script and digits becomes one blank. An item of n bytes may differ
-from a passage by k = max(1, n * RATE) edits; it is split into k + 1 pieces, one of which must occur exactly. All pieces of all items
-are found in one pass over a text (Aho-Corasick). A hit is verified up the halves of its item: if a node of p pieces has a match of
-at most p - 1 edits, so has one of its halves, hence a hit counts only if the node above it matches with its own budget, and so on to
-the whole item, with Myers' bit-parallel distance (1999) on the bytes around the hit. The budgets add up, so no match is missed.
+Texts and items are normalised: lower case, everything but letters of any script and digits becomes one blank. An item of n bytes may
+differ from a passage by k = n * RATE edits, rounded down; it is split into k + 1 pieces, one of which must occur exactly. The first
+eight bytes of each piece (all, if it is shorter) are its anchor; all places of a text are looked up among the anchors of all items at
+once, as numbers. A piece that is found is verified up the halves of its item: if a node of p pieces has a match of at most p - 1 edits,
+so has one of its halves, hence a hit counts only if the node above it matches with its own budget, and so on to the whole item, with
+Myers' bit-parallel distance (1999) on the bytes around the hit. The budgets add up, so no match is missed.
 
-Items are taken to the executors in slices of at most SLICE_BYTES, one pass over the texts for each, so any number of items can be
-held against the corpus. Items whose normalised text is shorter than LEAST_BYTES are matched as whole words, exactly. If less than half
-of such an item are letters (12 * 7 = 84), its signs count: it is matched on words that keep them, in lower case and without the
-punctuation marks at their ends; its places are those in that text.
+Items whose normalised text is shorter than LEAST_BYTES are matched with a blank at either end, and their numbers must be those of
+the passage: there, an edit in a number makes another question. If less than half of such an item are letters (12 * 7 = 84), its signs
+count too: it is matched exactly, on words that keep their signs, in lower case and without the punctuation marks at their ends;
+its places are those in that text.
+
+Items are taken to the executors in slices of at most SLICE_BYTES (20 bytes of index for each 10 bytes of items), a slice after
+another, with one pass over the texts for each, so any number of items can be held against the corpus.
 
 Defined results: null, empty and blank texts match nothing, nor do items of punctuation marks only; items of equal normalised text are each
 reported; repeated rows are reported each; null ids are carried as null; empty tables give no rows.
@@ -17,14 +21,19 @@ reported; repeated rows are reported each; null ids are carried as null; empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, LEAST_BYTES, SLICE_BYTES = 0.10, 24, 4_000_000
+from mirador.llm.common import discard, materialise
+
+RATE, LEAST_BYTES, SLICE_BYTES = 0.10, 24, 16_000_000
+#: Bytes of a piece that are looked up, places of a text that are looked up at a time, and patterns whose masks are kept.
+ANCHOR, PLACES, KEPT = 8, 1 << 18, 4096
 #: ASCII letters, digits and all bytes of longer characters stay, all else is a blank.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MARKS = b".,;:!?\"'`()[]{}"
@@ -80,140 +89,187 @@ def masks_of(pattern: bytes) -> dict[int, int]:
     return masks
 
 
-class Node:
-    """Pieces [first, last) of an item: its bytes [lo, hi) and the edits that it may take."""
-
-    __slots__ = ("lo", "hi", "budget", "up", "pattern", "masks")
-
-    def __init__(self, item: bytes, cuts: list[int], first: int, last: int, up: Node | None):
-        self.lo, self.hi, self.budget, self.up = cuts[first], cuts[last], last - first - 1, up
-        self.pattern = item[self.lo : self.hi]
-        self.masks = masks_of(self.pattern)
-
-
-def _leaves(item: bytes, cuts: list[int], first: int, last: int, up: Node | None) -> list[Node]:
-    own = Node(item, cuts, first, last, up)
-    if last - first == 1:
-        return [own]
-    mid = (first + last) // 2
-    return _leaves(item, cuts, first, mid, own) + _leaves(item, cuts, mid, last, own)
-
-
 class Matcher:
-    """Items (key, normalised text), ready to be found in normalised texts."""
+    """Items (key, normalised text), ready to be found in normalised texts. Plain arrays, so that it travels well."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE, least: int | None = LEAST_BYTES):
-        """Items of fewer than `least` bytes are matched as whole words, exactly; without it all are."""
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE, exact: bool = False):
+        """exact: no edits, whatever the length of an item."""
         self.items = items
-        words: dict[bytes, list] = {}
-        for n, (_, item) in enumerate(items):
-            if least is None or len(item) < least:
-                words.setdefault(b" " + item + b" ", []).append((n, None))
-                continue
-            k = max(1, int(len(item) * rate))
-            cuts = [len(item) * p // (k + 1) for p in range(k + 2)]
-            for leaf in _leaves(item, cuts, 0, k + 1, None):
-                words.setdefault(leaf.pattern, []).append((n, leaf))
-        self.automaton = ahocorasick.Automaton()
-        for word, own in words.items():
-            self.automaton.add_word(word.decode("latin-1"), (len(word), own))
-        if words:
-            self.automaton.make_automaton()
-        self.any = bool(words)
+        self.short = [exact or len(t) < LEAST_BYTES for _, t in items]
+        self.budgets = [0 if exact else int(len(t) * rate) for _, t in items]
+        of: dict[int, list[tuple[int, int, int]]] = {}
+        for n, k in enumerate(self.budgets):
+            pattern = self.pattern(n)
+            for piece in range(k + 1):
+                lo, hi = self.cut(n, piece), self.cut(n, piece + 1)
+                size = min(ANCHOR, hi - lo)
+                of.setdefault(size, []).append((int.from_bytes(pattern[lo : lo + size], "little"), n, piece))
+        # for each length of anchors: sorted anchors, their items and pieces, and a table of their hashes
+        self.anchors = {}
+        for size, own in of.items():
+            word = np.array([x[0] for x in own], dtype=np.uint64)
+            order = np.argsort(word, kind="stable")
+            bits = max(10, min(24, int(np.ceil(np.log2(len(own)))) + 4))
+            table = np.zeros(1 << bits, dtype=bool)
+            table[_hash(word, bits)] = True
+            rest = [np.array([x[k] for x in own], dtype=np.int32)[order] for k in (1, 2)]
+            self.anchors[size] = (word[order], *rest, table, bits)
+
+    def pattern(self, n: int) -> bytes:
+        """What is looked for: short items between blanks."""
+        return b" " + self.items[n][1] + b" " if self.short[n] else self.items[n][1]
+
+    def cut(self, n: int, piece: int) -> int:
+        return (len(self.items[n][1]) + 2 * self.short[n]) * piece // (self.budgets[n] + 1)
 
     def __call__(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item number, start, end, distance): for each item its best passage, the earliest of these."""
-        if not self.any or not text:
+        """(item number, start, end, distance): for each item its best passage, of equals the one that ends first."""
+        if not self.items or not text:
             return []
-        found: dict[int, tuple[int, int, int]] = {}
-        tried: set = set()
-        spaced = b" " + text + b" "
-        for last, (size, own) in self.automaton.iter(spaced.decode("latin-1")):
-            at = last + 1 - size - 1  # in text
-            for n, leaf in own:
-                if n in found and not found[n][2]:
-                    continue
-                if leaf is None:
-                    found[n] = (at + 1, at + size - 1, 0)
-                    continue
-                # hits on nearly the same diagonal look at the same passage
-                diagonal = at - leaf.lo
-                hit = self._verify(n, leaf, text, diagonal, tried)
-                if hit and (n not in found or hit[2] < found[n][2]):
-                    found[n] = hit
-        return [(n, *hit) for n, hit in sorted(found.items())]
-
-    def _verify(self, n: int, leaf: Node, text: bytes, diagonal: int, tried: set) -> tuple[int, int, int] | None:
-        item = self.items[n][1]
-        if 0 <= diagonal and text[diagonal : diagonal + len(item)] == item:
-            return diagonal, diagonal + len(item), 0
-        node, hit = leaf.up, None
-        while node is not None:
-            key = (node.lo, node.hi, n, diagonal)
-            if key in tried:
+        return _Search(self, b" " + text + b" ").found(len(text))
+
+
+def _hash(word: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+class _Search:
+    """One matcher on one text, which has a blank at either end."""
+
+    #: Masks of patterns by matcher and node, a bounded number of them.
+    masks: dict[tuple, dict[int, int]] = {}
+
+    def __init__(self, matcher: Matcher, text: bytes):
+        self.of, self.text = matcher, text
+        self.best: dict[int, tuple[int, int, int]] = {}
+        self.tried: set[tuple] = set()
+
+    def found(self, size: int) -> list[tuple[int, int, int, int]]:
+        for from_ in range(0, len(self.text), PLACES):
+            self.tried.clear()
+            self._look(from_)
+        out = []
+        for n, (distance, end, start) in sorted(self.best.items()):
+            blank = self.of.short[n]  # the blanks aren't part of the passage
+            start, end = max(0, start + blank - 1), min(size, end - blank - 1)
+            out.append((n, start, max(start, end), distance))
+        return out
+
+    def _look(self, from_: int) -> None:
+        some = self.text[from_ : from_ + PLACES + ANCHOR - 1]
+        places = min(PLACES, len(some))
+        words = np.ndarray(places, dtype="<u8", buffer=some + bytes(ANCHOR), strides=(1,)).astype(np.uint64)
+        for size, (anchors, items, pieces, table, bits) in self.of.anchors.items():
+            own = words & np.uint64((1 << 8 * size) - 1) if size < 8 else words
+            at = np.flatnonzero(table[_hash(own, bits)])
+            lo, hi = np.searchsorted(anchors, own[at], "left"), np.searchsorted(anchors, own[at], "right")
+            for place, x, y in zip((at + from_)[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                for n, piece in zip(items[x:y].tolist(), pieces[x:y].tolist(), strict=True):
+                    self._try(n, piece, place)
+
+    def _try(self, n: int, piece: int, place: int) -> None:
+        was = self.best.get(n)
+        if was and not was[0] and was[1] <= place:
+            return
+        pattern, lo, hi = self.of.pattern(n), self.of.cut(n, piece), self.of.cut(n, piece + 1)
+        if self.text[place : place + hi - lo] != pattern[lo:hi]:
+            return
+        diagonal = place - lo
+        hit = self._verify(n, piece, pattern, diagonal)
+        if hit and (was is None or hit < was) and (not self.of.short[n] or _numbers(self.text[hit[2] : hit[1]]) == _numbers(pattern)):
+            self.best[n] = hit
+
+    def _verify(self, n: int, piece: int, pattern: bytes, diagonal: int) -> tuple[int, int, int] | None:
+        """(distance, end, start) of the best passage on or near the diagonal."""
+        text = self.text
+        if diagonal >= 0 and text[diagonal : diagonal + len(pattern)] == pattern:
+            return 0, diagonal + len(pattern), diagonal
+        first, last = 0, self.of.budgets[n] + 1
+        nodes = []
+        while last - first > 1:
+            nodes.append((first, last))
+            mid = (first + last) // 2
+            first, last = (first, mid) if piece < mid else (mid, last)
+        hit = None
+        for first, last in reversed(nodes):
+            key = (n, first, last, diagonal)
+            if key in self.tried:
                 return None
-            tried.add(key)
-            lo = max(0, diagonal + node.lo - node.budget)
-            hit = myers(node.pattern, text[lo : max(0, diagonal + node.hi + node.budget)], node.budget, node.masks)
+            self.tried.add(key)
+            a, b, budget = self.of.cut(n, first), self.of.cut(n, last), last - first - 1
+            lo = max(0, diagonal + a - budget)
+            hit = myers(pattern[a:b], text[lo : max(0, diagonal + b + budget)], budget, self._masks(n, first, last, pattern[a:b]))
             if hit is None:
                 return None
-            node = node.up
-        distance, end = hit
-        end += lo
-        back = myers(item[::-1], text[max(0, end - len(item) - distance) : end][::-1], distance)
-        return end - (back[1] if back else len(item)), end, distance
+        if hit is None:
+            return None
+        distance, end = hit[0], hit[1] + lo
+        back = myers(pattern[::-1], text[max(0, end - len(pattern) - distance) : end][::-1], distance)
+        return distance, end, end - (back[1] if back else len(pattern))
 
+    def _masks(self, *key) -> dict[int, int]:
+        *node, pattern = key
+        own = (id(self.of), *node)
+        got = self.masks.get(own)
+        if got is None:
+            if len(self.masks) >= KEPT:
+                self.masks.clear()
+            got = self.masks[own] = masks_of(pattern)
+        return got
 
-def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> list[list[tuple[int, str]]]:
-    """Items in slices of at most `most` characters (or of one item), brought to the driver one slice after another."""
 
-    def run() -> Iterator[list]:
-        held, size = [], 0
-        for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-            if held and size + len(r["text"]) > most:
-                yield held
-                held, size = [], 0
-            held.append((r["item_id"], r["text"]))
-            size += len(r["text"])
-        if held:
-            yield held
+_NUMBER = re.compile(rb"[0-9]+")
 
-    return run()
 
+def _numbers(passage: bytes) -> list[bytes]:
+    return _NUMBER.findall(passage)
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, start, stop, distance) for each item found in each row of docs; places in the normalised text, in bytes."""
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, item_id long, start int, stop int, distance int"
-    found = None
-    for part in slices(benchmark):
-        one = slim.mapInArrow(_finder(part, rate), schema)
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
+def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Items in slices of at most `most` characters (or of one item), brought to the driver one slice after another."""
+    held, size = [], 0
+    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+        if held and size + len(r["text"]) > most:
+            yield held
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    if held:
+        yield held
 
-def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
-    return Matcher([(k, t) for k, text in items if (t := normalised(text))], rate)
 
+class Finder:
+    """From a text to the (item_id, start, stop, distance) that it holds."""
 
-def _both(items: list[tuple[int, str]], rate: float):
-    """A function from a text to the (item_id, start, stop, distance) that it holds."""
-    plain = _matcher([(k, t) for k, t in items if not by_signs(t)], rate)
-    # exact whole words, whatever their length
-    exact = Matcher([(k, signed(t)) for k, t in items if by_signs(t)], rate, least=None)
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+        self.plain = Matcher([(k, b) for k, t in items if not by_signs(t) and (b := normalised(t))], rate)
+        self.signs = Matcher([(k, b) for k, t in items if by_signs(t) and (b := signed(t))], rate, exact=True)
 
-    def found(text: str | None) -> list[tuple[int, int, int, int]]:
-        hits = [(plain.items[n][0], *hit) for n, *hit in plain(normalised(text))]
-        return hits + [(exact.items[n][0], *hit) for n, *hit in exact(signed(text))] if exact.any else hits
+    def __call__(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        hits = [(self.plain.items[n][0], *hit) for n, *hit in self.plain(normalised(text))] if self.plain.items else []
+        return hits + [(self.signs.items[n][0], *hit) for n, *hit in self.signs(signed(text))] if self.signs.items else hits
 
-    return found
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, item_id, start, stop, distance) for each item found in each row of docs; places in the normalised text, in bytes."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    schema = "doc_id long, item_id long, start int, stop int, distance int"
+    found = None
+    for part in slices(benchmark, most):
+        held = spark.sparkContext.broadcast(Finder(part, rate))  # a slice at most
+        one = materialise(slim.mapInArrow(_finding(held), schema))
+        held.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else spark.createDataFrame([], schema)
 
 
-def _finder(items: list[tuple[int, str]], rate: float):
+def _finding(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _both(items, rate)
+        finder = held.value
         for batch in batches:
-            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in found(text.as_py())]
+            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in finder(text.as_py())]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "stop", "distance"])
@@ -221,20 +277,28 @@ def _finder(items: list[tuple[int, str]], rate: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no item is found, all columns; each row is judged beside its text, nothing is joined."""
-    names = docs.columns
-    for part in slices(benchmark):
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs in which no item is found, all columns whatever their names. Only texts go to Python, nothing is joined; between
+    two slices of items the rows that are left are written."""
+    spark, was = docs.sparkSession, None
+    for part in slices(benchmark, most):
+        if was is not None:
+            docs = materialise(docs)
+            was[1].destroy()
+            discard(was[0])
+        held = spark.sparkContext.broadcast(Finder(part, rate))  # a slice at most
+        was = docs, held
+        docs = docs.where(~_holds(held)(F.col("text")))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            found = _both(part, rate)
-            for batch in batches:
-                keep = pa.array([not found(t.as_py()) for t in batch.column(len(names))], pa.bool_())
-                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(keep)
 
-        schema = docs.schema
-        docs = docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
-    return docs
+def _holds(held):
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        finder = held.value
+        return pa.array([bool(finder(t.as_py())) for t in texts], pa.bool_())
+
+    return holds
 
 
 def op9_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -90,11 +90,11 @@ def test_matches_are_those_of_brute_force():
     rng = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyz     "
     some = lambda n: "".join(rng.choice(letters) for _ in range(n))
-    items = [(k, some(rng.randint(30, 120))) for k in range(12)]
-    matcher = decontaminate._matcher(items, decontaminate.RATE)
+    items = [(k, decontaminate.normalised("q" + some(rng.randint(30, 120)) + "q")) for k in range(12)]
+    matcher = decontaminate.Matcher(items)
     for k, (_, item) in enumerate(matcher.items):
-        most = max(1, int(len(item) * decontaminate.RATE))
-        for edits in (0, 1, most, most + 3):
+        most = int(len(item) * decontaminate.RATE)
+        for edits in (0, 1, 2, most, most + 3):
             text = bytearray(item)
             for _ in range(edits):
                 at = rng.randrange(len(text))
@@ -105,7 +105,80 @@ def test_matches_are_those_of_brute_force():
             got = {n: hit for n, *hit in matcher(whole)}
             assert (k in got) == (want <= most), (k, edits, want, most)
             if k in got:
-                assert got[k][2] >= want and (edits or got[k][2] == 0)
+                start, stop, d = got[k]
+                assert d == want == distance(item, whole[start:stop])
+
+
+def test_query_is_that_of_brute_force(spark):
+    """All (document, item, least distance) of random corpora over a small alphabet, where pieces collide often."""
+    rng = random.Random(18)
+    some = lambda n: "".join(rng.choice("abcd  ") for _ in range(n))
+    items = [(k, some(rng.choice([26, 31, 40, 65]))) for k in range(25)]
+    items = [(k, t) for k, t in items if len(decontaminate.normalised(t)) >= decontaminate.LEAST_BYTES]
+    rows = []
+    for d in range(60):
+        t = some(200)
+        for _ in range(2):
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 5)):
+                part[rng.randrange(len(part))] = rng.choice(["", "a", "b ", "dd"])
+            at = rng.randrange(len(t))
+            t = t[:at] + "".join(part) + t[at:]
+        rows.append((d, t))
+    want = set()
+    for d, t in rows:
+        for k, i in items:
+            p, q = decontaminate.normalised(i), decontaminate.normalised(t)
+            least = distance(p, b" " + q + b" ")
+            if least <= int(len(p) * decontaminate.RATE):
+                want.add((d, k, least))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.SLICE_BYTES, 300):  # in one slice and in many
+        found = decontaminate.matches(docs, bench, most=most).collect()
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == want and len(found) == len(want)
+    assert len(want) > 60 and {w[2] for w in want} > {0, 1, 2}
+    hit = {w[0] for w in want}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench, most=300).collect()} == set(range(60)) - hit
+
+
+def test_short_items_take_edits_but_not_in_numbers():
+    one = lambda item, text: [hit[3] for hit in decontaminate.Finder([(1, item)])(text)]
+    assert one("name the longest lake", "Now: name the longst lake, please") == [1]
+    assert one("name the longest lake", "name the largest cake") == [] and one("name the longest lake", "rename the longest lakes") == [2]
+    assert one("What is 12 + 30? 42", "What is 99 + 7? 1") == [] and one("What is 12 + 30? 42", "So what is 12 + 30? (42)") == [0]
+    assert one("step 15 of the list", "step 16 of the list") == [] and one("step 15 of the list", "stepp 15 of the list") == [1]
+    assert one("3 * 4 = 12", "so 3 * 4 = 12.") == [0] and one("3 * 4 = 12", "3 + 4 = 12") == []
+    assert one("ox", "an ox") == [0] and one("ox", "box") == []
+
+
+def test_index_of_a_slice_is_small():
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(60))) for k in range(2800)]
+    size = sum(len(t) for _, t in items)  # about 1 MB
+    tracemalloc.start()
+    finder = decontaminate.Finder(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / size * decontaminate.SLICE_BYTES < 150e6
+    assert [h[0] for h in finder("so " + items[17][1][:150] + "x" + items[17][1][150:])] == [17]
+
+
+def test_very_long_texts(spark):
+    item = "a sentence that nobody else would ever write about the lake of the seven herons"
+    long_ = "herons of the seven lakes and " * 40_000
+    at = decontaminate.PLACES - 30  # across the border of two looks
+    text = long_[:at] + item + long_[at:]
+    assert [h[0] for h in decontaminate.Finder([(4, item)])(text)] == [4] and not decontaminate.Finder([(4, item)])(long_)
+
+
+def test_clean_carries_any_columns(spark):
+    names = ["doc_id", "text", "_text", "a.b", "item_id", "distance"]
+    df = spark.createDataFrame([(k, f"text {k}", "c", "d", 1, 2) for k in range(5)], "doc_id long, text string, _text string, `a.b` string, item_id int, distance int")
+    kept = decontaminate.clean(df, spark.createDataFrame([(1, "text 3")], "item_id long, text string"))
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in df.collect() if r["doc_id"] != 3)
 
 
 def test_decontamination(spark):
