@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mirador.llm.common import materialise, n_words, running_start, with_row_id
+from mirador.llm.common import all_of, free_name, materialise, n_words, running_start, with_row_id
 
 #: Cells that the draw of a source is looked up in: the table of cells has this many rows at any input size.
 CELLS = 65536
@@ -177,26 +177,30 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each document and pass with the text of the words that the pass takes of it, blanks
-    between them as they were, and n_chars anew; all other columns as they are. What a pass takes whole stays as it is."""
-    named = docs.columns
-    base = with_row_id(docs, "_mix_rid")
-    plan = mix(base, row_id="_mix_rid", **options)
-    spans = plan.pieces.groupBy(F.col("_rid").alias("_mix_rid"), "pass").agg(
+    between them as they were, and n_chars anew; all other columns as they are, whatever their names. What a pass takes whole
+    stays as it is."""
+    rid = free_name(docs, "_rid")
+    base = with_row_id(docs, rid)
+    plan = mix(base.select("doc_id", "source", "text", F.col(rid).alias("_rid")), row_id="_rid", **options)
+    spans = plan.pieces.groupBy("_rid", "pass").agg(
         F.array_sort(F.collect_list(F.struct("word_from", "n_words"))).alias("_spans"), F.sum("n_words").alias("_taken")
-    ).select("_mix_rid", F.struct("_spans", "_taken").alias("_mix"))
+    ).drop("pass")
+    # the row in one column, so that no name of its own meets another
+    rows = base.select(F.col(rid).alias("_rid"), F.col("text").alias("_text"), F.struct(*all_of(docs)).alias("_row"))
     # word by word, each with the blanks after it; blanks before the first word belong to it
-    parts = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    words = base.join(spans.hint("shuffle_hash"), "_mix_rid")
+    parts = F.split("_text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(F.col("_text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    words = rows.join(spans.hint("shuffle_hash"), "_rid")
+    words = words.withColumn("_whole", F.col("_taken") == n_words(F.col("_text")))
+    words = words.withColumn("_parts", F.when(~F.col("_whole"), parts)).withColumn("_lead", lead)
     cut = F.array_join(
-        F.transform(F.col("_mix._spans"), lambda s: F.array_join(F.slice("_parts", (s["word_from"] + 1 + F.col("_lead")).cast("int"), s["n_words"].cast("int")), "")), ""
+        F.transform("_spans", lambda s: F.array_join(F.slice("_parts", (s["word_from"] + 1 + F.col("_lead")).cast("int"), s["n_words"].cast("int")), "")), ""
     )
-    words = words.withColumn("_size", n_words(F.col("text"))).withColumn("_whole", F.col("_mix._taken") == F.col("_size"))
-    words = words.withColumn("_parts", F.when(~F.col("_whole"), parts)).withColumn("_lead", lead)
-    words = words.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
-    if "n_chars" in named:
-        words = words.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return words.select(*named)
+    words = words.withColumn("_text", F.when(F.col("_whole"), F.col("_text")).otherwise(cut))
+    made = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return words.select(*[made.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(docs: DataFrame) -> DataFrame:

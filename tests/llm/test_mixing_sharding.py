@@ -80,6 +80,17 @@ def test_documents_of_the_mix(docs, rows):
     assert abs(total - 1.5 * sum(sizes.values())) <= len(sizes)
 
 
+def test_mix_carries_any_columns(spark):
+    names = ["doc_id", "text", "source", "_size", "_parts", "_lead", "_whole", "_mix_rid", "_mix", "_rid", "__rid", "_row", "_spans", "a.b", "pass", "sid", "n_chars"]
+    kinds = ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names)
+    rows = [(k, f" some words of {k} ", f"s{k % 2}", *[f"{n}{k}" for n in names[3:-1]], 7) for k in range(40)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, kinds), block=4)
+    assert mixed.columns == names
+    for r in mixed.collect():
+        own = rows[r["doc_id"]]
+        assert tuple(r)[2:-1] == own[2:-1] and r["text"] in own[1] and r["n_chars"] == len(r["text"])
+
+
 def test_empty_tables(empty):
     assert mixing.op1_mix_sources(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
