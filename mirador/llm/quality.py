@@ -5,9 +5,11 @@ of vote patterns of all documents estimates each labeller's accuracies and the s
 the label of its documents. Posterior labels of at most MOST_FITTED documents, chosen by hash of doc_id, train a linear scorer on
 hashed word shapes, repetitions and text statistics; it scores every text whole. No human labels are read.
 
+A text is read once: its votes and inputs are written, and all that follows works on these.
+
 Defined results: null, empty and blank texts have no shapes and are rejected with score 0; repeated rows and null doc_ids are
-scored like any other; with fewer than two documents, or if the labellers see one class only, the posterior label decides alone;
-an empty table gives no rows.
+scored like any other, but rows without doc_id aren't fitted; where no row can be fitted, all texts with words score 0.5; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_FITTED, HASHED = 8000, 512
-_CACHED = 400_000
+from mirador.llm.common import all_of, free_name, materialise
+
+MOST_FITTED, HASHED, LEAST_SCORE = 8000, 512, 0.5
+#: Words whose codes a task remembers, and their length in bytes: about 10 MB.
+_CACHED, _CACHED_LENGTH = 1 << 16, 32
 
 #: Frequent function words of English, German, French and Spanish.
 STOPWORDS = frozenset(
@@ -44,6 +49,7 @@ LABELLERS = (
     ("marked_words", "below", 0.1, 0.4),
 )
 STATISTICS = tuple(x[0] for x in LABELLERS)
+N_STATS = len(LABELLERS)
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#$%&*@^~|<>=_{}[]\\"]] = True
 _CAPITAL = np.zeros(256, dtype=bool)
@@ -84,11 +90,14 @@ class Reader:
         n, known = len(words), self.known
         codes = list(map(known.get, words))
         if None in codes:
-            if len(known) >= _CACHED:
-                known.clear()
             for k, c in enumerate(codes):
                 if c is None:
-                    codes[k] = known[words[k]] = self._word(words[k])
+                    w = words[k]
+                    codes[k] = own = self._word(w)
+                    if len(w) <= _CACHED_LENGTH:
+                        if len(known) >= _CACHED:
+                            known.clear()
+                        known[w] = own
         codes = np.array(codes, dtype=np.int64)
         count = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
         letters = max(1, int(count[_LETTER].sum()))
@@ -134,20 +143,60 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float, posterior: dict[tuple, float], share: float, accuracies: np.ndarray):
+    """Weights and bias of the scorer; what the labellers gave: posteriors by pattern, the share of good texts, accuracies."""
+
+    def __init__(self, weights: np.ndarray, bias: float, posterior: dict[int, float], share: float, accuracies: np.ndarray | None):
         self.weights, self.bias, self.posterior, self.share, self.accuracies = weights, bias, posterior, share, accuracies
 
-    def score(self, read: tuple[np.ndarray, np.ndarray] | None) -> float:
-        if read is None:
-            return 0.0
-        if self.weights is None:
-            return self.posterior.get(tuple(votes(read[0])), self.share)
-        z = float(self.weights @ _inputs(*read)) + self.bias
-        return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
+    def scores(self, reads: pa.Array) -> np.ndarray:
+        """Of texts as read by reading(); 0 for texts without words."""
+        out = np.zeros(len(reads))
+        for k, x in enumerate(reads.field("x")):
+            if x.is_valid:
+                stats, at, freq = _unpacked(x.as_buffer())
+                z = self.weights[:N_STATS] @ np.minimum(stats, 1.0) + self.weights[N_STATS + at] @ np.sqrt(freq) + self.bias
+                out[k] = 1 / (1 + np.exp(-max(-60.0, min(60.0, z))))
+        return out
+
+
+#: A read text: the pattern of its votes in base 3, and its statistics and hashed frequencies, packed; null without words.
+READ = pa.struct([("pattern", pa.int32()), ("x", pa.binary())])
+
+
+def pattern_of(own: list[int]) -> int:
+    return sum((v + 1) * 3**k for k, v in enumerate(own))
+
+
+def pattern_votes(pattern: int) -> list[int]:
+    return [pattern // 3**k % 3 - 1 for k in range(N_STATS)]
+
+
+def _packed(stats: np.ndarray, shapes: np.ndarray) -> bytes:
+    at = np.flatnonzero(shapes)
+    return stats.astype("<f8").tobytes() + shapes[at].astype("<f4").tobytes() + at.astype("<u2").tobytes()
+
+
+def _unpacked(x: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, places, frequencies there)."""
+    n = (len(x) - 8 * N_STATS) // 6
+    return (np.frombuffer(x, "<f8", N_STATS), np.frombuffer(x, "<u2", n, 8 * N_STATS + 4 * n).astype(np.int64), np.frombuffer(x, "<f4", n, 8 * N_STATS))
 
 
-def _inputs(stats: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.minimum(stats, 1.0), np.sqrt(shapes)])
+def reading(text: Column) -> Column:
+    """The text as read, a struct of READ. Only the text goes to Python, other columns stay where they are."""
+
+    @F.arrow_udf("struct<pattern:int,x:binary>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = Reader()
+        for batch in batches:
+            patterns, xs = [], []
+            for t in batch:
+                r = reader(t.as_py())
+                patterns.append(pattern_of(votes(r[0] if r else None)))
+                xs.append(_packed(*r) if r else None)
+            yield pa.StructArray.from_arrays([pa.array(patterns, pa.int32()), pa.array(xs, pa.binary())], fields=list(READ))
+
+    return read(text.cast("binary"))
 
 
 def _linear(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -161,69 +210,60 @@ def _linear(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, l
     return w[:-1].astype(float), float(w[-1])
 
 
-def fitted_texts(docs: DataFrame, most: int, seed: int) -> DataFrame:
-    """(doc_id, text) of `most` documents at most, the first by hash of doc_id; of rows with one doc_id, the least text."""
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+def _sample(reads: DataFrame, most: int, seed: int) -> DataFrame:
+    """(pattern, x) of `most` documents with words at most, the first by hash of doc_id; of rows with one doc_id, the least x."""
+    worded = reads.where("doc_id is not null and x is not null")
+    ids = worded.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    # at most `most` ids
+    own = worded.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "pattern")).alias("_r"))
+    return own.select("_r.pattern", "_r.x")
 
 
-def train(docs: DataFrame, most_fitted: int = MOST_FITTED, seed: int = 42) -> Model:
-    """Votes of all docs(doc_id, text) give the posterior labels; those of a bounded sample train the scorer."""
-    slim = docs.select(F.col("text").cast("binary").alias("text"))
-    names = [f"v{k}" for k in range(len(LABELLERS))]
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in batches:
-            rows = [votes(r[0] if (r := reader(t.as_py())) else None) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names))], names)
-
+def train(reads: DataFrame, most_fitted: int = MOST_FITTED, seed: int = 42) -> Model:
+    """reads: (doc_id, pattern, x) of all documents. Their votes give the posterior labels; those of a bounded sample train the scorer."""
     # 3 ** 8 patterns at most
-    found = slim.mapInArrow(vote, ", ".join(f"{n} int" for n in names)).groupBy(*names).count().collect()
+    found = sorted((r["pattern"], r["count"]) for r in reads.groupBy("pattern").count().collect())
+    none = np.zeros(N_STATS + HASHED)
     if not found:
-        return Model(None, 0.0, {}, 1.0, None)
-    patterns, counts = np.array([[r[n] for n in names] for r in found]), np.array([r["count"] for r in found], dtype=float)
-    good, share, accuracies = em(patterns, counts)
-    posterior = {tuple(p): float(g) for p, g in zip(patterns.tolist(), good, strict=True)}
-
-    sample = fitted_texts(docs, most_fitted, seed).select("text")
+        return Model(none, 0.0, {}, 1.0, None)
+    good, share, accuracies = em(np.array([pattern_votes(p) for p, _ in found]), np.array([n for _, n in found], dtype=float))
+    posterior = {p: float(g) for (p, _), g in zip(found, good, strict=True)}
+    # sorted, as the sample arrives in any order; packed, it takes under 4 kB a document
+    rows = sorted((bytes(r["x"]), r["pattern"]) for r in _sample(reads, most_fitted, seed).collect())
+    if not rows:
+        return Model(none, 0.0, posterior, share, accuracies)
+    x, y = np.zeros((len(rows), N_STATS + HASHED), dtype=np.float32), np.array([posterior[p] for _, p in rows])
+    for k, (packed, _) in enumerate(rows):
+        stats, at, freq = _unpacked(pa.py_buffer(packed))
+        x[k, :N_STATS] = np.minimum(stats, 1.0)
+        x[k, N_STATS + at] = np.sqrt(freq)
+    return Model(*_linear(x, y), posterior, share, accuracies)
 
-    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in batches:
-            reads = [r for t in batch.column(0) if (r := reader(t.as_py()))]
-            x = [_inputs(*r).astype(np.float32).tobytes() for r in reads]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array([posterior.get(tuple(votes(r[0])), share) for r in reads], pa.float64())], ["x", "y"])
 
-    rows = sample.mapInArrow(inputs, "x binary, y double").collect()
-    y = np.array([r["y"] for r in rows])
-    if len(y) < 2 or y.min() >= 0.5 or y.max() < 0.5:
-        return Model(None, 0.0, posterior, share, accuracies)
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows])
-    order = np.lexsort([*x.T[:4], y])  # the sample arrives in any order
-    return Model(*_linear(x[order], y[order]), posterior, share, accuracies)
+def scoring(model: Model, read: Column) -> Column:
+    """The score of a read text, 0 to 1, 1: good."""
 
+    @F.arrow_udf("double")
+    def score(reads: pa.Array) -> pa.Array:
+        return pa.array(model.scores(reads), pa.float64())
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, and score (0 to 1, 1: good)."""
+    return score(read)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in batches:
-            scores = [model.score(reader(t.as_py())) for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, "_score"])
 
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, f"{schema}, _score double")
+def _trained(rows: DataFrame, read: str) -> Model:
+    return train(rows.select("doc_id", F.col(f"{read}.pattern").alias("pattern"), F.col(f"{read}.x").alias("x")))
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns; each row is judged beside its text, nothing is joined."""
-    return score(docs, train(docs), docs.columns).where(F.col("_score") >= least).drop("_score")
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs that the classifier accepts, all columns whatever their names. The rows are written once beside what was read of
+    their texts, so the texts go through Python once and nothing is joined."""
+    name = free_name(docs, "_read")
+    rows = materialise(docs.withColumn(name, reading(F.col("text"))))
+    return rows.where(scoring(_trained(rows, name), F.col(name)) >= least).select(*all_of(docs))
 
 
 def op8_quality(docs: DataFrame) -> DataFrame:
     """doc_id, score, kept of all documents."""
-    scored = score(docs, train(docs), ["doc_id"])
-    return scored.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("kept"))
+    rows = materialise(docs.select("doc_id", reading(F.col("text")).alias("_read")))
+    scored = rows.select("doc_id", scoring(_trained(rows, "_read"), F.col("_read")).alias("score"))
+    return scored.select("doc_id", "score", (F.col("score") >= LEAST_SCORE).alias("kept"))

@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from mirador.llm import quality, toxicity
 from mirador.llm.registry import oracle_sql, queries
@@ -94,9 +96,50 @@ def test_registry():
 
 
 def test_repeated_ids_leave_the_sample_whole(spark):
-    from pyspark.sql import functions as F
-
     first = spark.range(50).orderBy(F.xxhash64("id", F.lit(42)), "id").first()["id"]
-    rows = [(k, f"text {k}") for k in range(50)] + [(first, f"copy {k}") for k in range(200)]
-    found = quality.fitted_texts(spark.createDataFrame(rows, "doc_id long, text string"), 20, 42).collect()
-    assert len(found) == len({r["doc_id"] for r in found}) == 20 and first in {r["doc_id"] for r in found}
+    rows = [(k, f"text {k}") for k in range(50)] + [(first, f"copy {k}") for k in range(200)] + [(99, None), (None, "text")]
+    reads = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", quality.reading(F.col("text")).alias("r")).select("doc_id", "text", "r.*")
+    found = quality._sample(reads, 20, 42).collect()
+    read = {(r["pattern"], bytes(r["x"])) for r in reads.where("x is not null").collect()}
+    assert len(found) == 20 and {(r["pattern"], bytes(r["x"])) for r in found} <= read
+    assert quality._sample(reads, 1000, 42).count() == 50
+
+
+def test_texts_as_read_are_those_of_the_reader(spark):
+    texts = ["The river and the stone.", "AA!! BB!! ## ##", None, "", " \n", "x " * 300, "é ü 12 " * 9]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", quality.reading(F.col("text")).alias("r")).collect()
+    for r in got:
+        want = quality.Reader()((texts[r["k"]] or "").encode())
+        assert quality.pattern_votes(r["r"]["pattern"]) == quality.votes(want[0] if want else None)
+        assert (r["r"]["x"] is None) == (want is None)
+        if want:
+            stats, at, freq = quality._unpacked(pa.py_buffer(bytes(r["r"]["x"])))
+            dense = np.zeros(quality.HASHED)
+            dense[at] = freq
+            assert np.array_equal(stats, want[0]) and np.allclose(dense, want[1], atol=1e-7)
+
+
+def test_quality_by_brute_force(spark):
+    """Each score against a model fitted here on the same posteriors, in double precision and without batches."""
+    rng = random.Random(5)
+    words = ["the", "of", "river", "stones", "garden", "Letter", "window,", "market."]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(50)) if k % 4 else junk(rng, k // 4)) for k in range(120)]
+    reader = quality.Reader()
+    reads = [reader(t.encode()) for _, t in rows]
+    own = [tuple(quality.votes(r[0])) for r in reads]
+    kinds = sorted(set(own))
+    good, share, _ = quality.em(np.array(kinds), np.array([own.count(k) for k in kinds], dtype=float))
+    y = np.array([good[kinds.index(o)] for o in own])
+    x = np.array([np.concatenate([np.minimum(s, 1), np.sqrt(h)]) for s, h in reads])
+    w, b = quality._linear(x, y)
+    want = {k: 1 / (1 + np.exp(-(x[n] @ w + b))) for n, (k, _) in enumerate(rows)}
+    found = {r["doc_id"]: r["score"] for r in quality.op8_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(abs(found[k] - s) < 0.02 for k, s in want.items())
+    assert 0.5 < share < 0.9
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["doc_id", "text", "_read", "_READ_", "a.b", "score", "_bytes", "_score", "_rid", "x"]
+    df = spark.createDataFrame([(k, f"The river of stones and the garden {k}.", *"abcdefgh") for k in range(9)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = quality.accepted(df)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
