@@ -12,7 +12,7 @@ the passage: there, an edit in a number makes another question. If less than hal
 count too: it is matched exactly, on words that keep their signs, in lower case and without the punctuation marks at their ends;
 its places are those in that text.
 
-Items are taken to the executors in slices of at most SLICE_BYTES (20 bytes of index for each 10 bytes of items), a slice after
+Items are taken to the executors in slices of at most SLICE_BYTES (some 50 bytes of index for each 10 bytes of items), a slice after
 another, with one pass over the texts for each, so any number of items can be held against the corpus.
 
 Defined results: null, empty and blank texts match nothing, nor do items of punctuation marks only; items of equal normalised text are each
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from mirador.llm.common import discard, materialise
 
-RATE, LEAST_BYTES, SLICE_BYTES = 0.10, 24, 16_000_000
+RATE, LEAST_BYTES, SLICE_BYTES = 0.10, 24, 4_000_000
 #: Bytes of a piece that are looked up, places of a text that are looked up at a time, and patterns whose masks are kept.
 ANCHOR, PLACES, KEPT = 8, 1 << 18, 4096
+#: Bytes beside a place that are seen with it.
+SIDE = 80
 #: ASCII letters, digits and all bytes of longer characters stay, all else is a blank.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MARKS = b".,;:!?\"'`()[]{}"
@@ -97,23 +99,42 @@ class Matcher:
         self.items = items
         self.short = [exact or len(t) < LEAST_BYTES for _, t in items]
         self.budgets = [0 if exact else int(len(t) * rate) for _, t in items]
-        of: dict[int, list[tuple[int, int, int]]] = {}
+        of: dict[int, list[tuple[int, ...]]] = {}
         for n, k in enumerate(self.budgets):
             pattern = self.pattern(n)
             for piece in range(k + 1):
                 lo, hi = self.cut(n, piece), self.cut(n, piece + 1)
                 size = min(ANCHOR, hi - lo)
-                of.setdefault(size, []).append((int.from_bytes(pattern[lo : lo + size], "little"), n, piece))
-        # for each length of anchors: sorted anchors, their items and pieces, and a table of their hashes
+                words = [int.from_bytes(pattern[x : x + size], "little") for x in (lo, hi - size)]
+                of.setdefault(size, []).append((*words, n, piece, hi - lo, *self._beside(n, piece)))
+        # for each length of anchors, by anchor: the piece's last bytes, item, piece, length, and where the piece beside it lies
         self.anchors = {}
         for size, own in of.items():
-            word = np.array([x[0] for x in own], dtype=np.uint64)
+            word, tail = (np.array([x[k] for x in own], dtype=np.uint64) for k in (0, 1))
             order = np.argsort(word, kind="stable")
             bits = max(10, min(24, int(np.ceil(np.log2(len(own)))) + 4))
             table = np.zeros(1 << bits, dtype=bool)
             table[_hash(word, bits)] = True
-            rest = [np.array([x[k] for x in own], dtype=np.int32)[order] for k in (1, 2)]
-            self.anchors[size] = (word[order], *rest, table, bits)
+            rest = [np.array([x[k] for x in own], dtype=kind)[order] for k, kind in ((2, np.int32), (3, np.int32), (4, np.int32), (5, np.int16), (6, np.int16))]
+            halves = np.array([x[7] for x in own], dtype=np.uint32)[order], np.array([x[8] for x in own], dtype=np.uint32)[order]
+            self.anchors[size] = (word[order], tail[order], *rest, *halves, table, bits)
+
+    def _beside(self, n: int, piece: int) -> tuple[int, int, int, int]:
+        """Where the two halves of the piece that shares a node of two with this one are, from this one's start, and their first four
+        bytes: of a node with one edit either is unchanged, at most one place off. Zeros if the node is another one or they are shorter."""
+        first, last = 0, self.budgets[n] + 1
+        while last - first > 2:
+            mid = (first + last) // 2
+            first, last = (first, mid) if piece < mid else (mid, last)
+        if last - first < 2:
+            return 0, 0, 0, 0
+        own, pattern = self.cut(n, piece), self.pattern(n)
+        other = first if piece != first else first + 1
+        lo, hi = self.cut(n, other), self.cut(n, other + 1)
+        mid = (lo + hi) // 2
+        if mid - lo < 4 or hi - lo > 32:
+            return 0, 0, 0, 0
+        return lo - own, mid - own, *(int.from_bytes(pattern[x : x + 4], "little") for x in (lo, mid))
 
     def pattern(self, n: int) -> bytes:
         """What is looked for: short items between blanks."""
@@ -157,16 +178,32 @@ class _Search:
         return out
 
     def _look(self, from_: int) -> None:
-        some = self.text[from_ : from_ + PLACES + ANCHOR - 1]
-        places = min(PLACES, len(some))
-        words = np.ndarray(places, dtype="<u8", buffer=some + bytes(ANCHOR), strides=(1,)).astype(np.uint64)
-        for size, (anchors, items, pieces, table, bits) in self.of.anchors.items():
-            own = words & np.uint64((1 << 8 * size) - 1) if size < 8 else words
-            at = np.flatnonzero(table[_hash(own, bits)])
+        # some bytes around the places that are looked up, and blanks where the text ends
+        lead = min(from_, SIDE)
+        some = self.text[from_ - lead : from_ + PLACES + SIDE]
+        places = min(PLACES, len(some) - lead)
+        some = some + b" " * (SIDE + ANCHOR)
+        words = np.ndarray(len(some) - ANCHOR + 1, dtype="<u8", buffer=some, strides=(1,)).astype(np.uint64)
+        for size, (anchors, tails, items, pieces, lengths, x1, x2, h1, h2, table, bits) in self.of.anchors.items():
+            own = words & np.uint64((1 << 8 * size) - 1) if size < ANCHOR else words
+            at = np.flatnonzero(table[_hash(own[lead : lead + places], bits)]) + lead
             lo, hi = np.searchsorted(anchors, own[at], "left"), np.searchsorted(anchors, own[at], "right")
-            for place, x, y in zip((at + from_)[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for n, piece in zip(items[x:y].tolist(), pieces[x:y].tolist(), strict=True):
-                    self._try(n, piece, place)
+            n_hits = hi - lo
+            at = np.repeat(at, n_hits)
+            entry = np.arange(len(at)) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + np.repeat(lo, n_hits)
+            # the end of the piece, if it is near
+            ok = (lengths[entry] > SIDE) | (own[np.minimum(at + lengths[entry] - size, len(own) - 1)] == tails[entry])
+            at, entry = at[ok], entry[ok]
+            ok = (x1[entry] == 0) & (x2[entry] == 0)
+            for x, half in ((x1, h1), (x2, h2)):
+                for off in (-1, 0, 1):
+                    place = at + x[entry] + off
+                    # outside of what is in sight nothing is ruled out but by the text's ends
+                    ok |= (place < 0) & (from_ > lead)
+                    ok |= (words[np.clip(place, 0, len(words) - 1)] & np.uint64(0xFFFFFFFF)).astype(np.uint32) == half[entry]
+            at, entry = at[ok] + from_ - lead, entry[ok]
+            for place, n, piece in zip(at.tolist(), items[entry].tolist(), pieces[entry].tolist(), strict=True):
+                self._try(n, piece, place)
 
     def _try(self, n: int, piece: int, place: int) -> None:
         was = self.best.get(n)
