@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _scratch: dict[str, str] = {}
+_watched: dict[str, object] = {}
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -50,24 +51,41 @@ def _clear(spark: SparkSession, path: str) -> None:
         return
 
 
+#: How scratch tables are written: Spark drops the shuffle files of a write as soon as it is done, for what is written no longer needs
+#: them; and what goes to Python goes in small batches, so that neither side holds large buffers.
+_LEAN = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
+
+
 @contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Spark drops the shuffle files of a write as soon as it is done: what is written no longer needs them."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _lean(spark: SparkSession) -> Iterator[None]:
+    was = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df once to the shared scratch folder and read it back: a lost executor costs a reread, not a rerun.
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df once to the shared scratch folder and read it back: a lost executor costs a reread, not a rerun."""
-    path = path or f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    with freed_shuffles(df.sparkSession):
-        df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    The files go when no plan in the driver refers to them any more and the JVM has noticed, or with discard().
+    """
+    spark = df.sparkSession
+    _sweep(spark)
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    with _lean(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # every plan over this table holds its list of files
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _watched[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(files)
     _written[out] = path
     return out
 
@@ -76,9 +94,21 @@ def discard(*written: DataFrame) -> None:
     """Deletes the files of tables from materialise() that nothing reads any more."""
     for df in written:
         if path := _written.pop(df, None):
+            _watched.pop(path, None)
             _clear(df.sparkSession, path)
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Deletes the tables whose list of files the JVM has collected."""
+    here = _scratch.get(spark.sparkContext.applicationId, "")
+    for path, files in list(_watched.items()):
+        if not here or not path.startswith(here):
+            del _watched[path]  # of a session that has ended
+        elif files.refersTo(None):
+            del _watched[path]
+            _clear(spark, path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many _ before it as it takes for no column of df to be called so, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -137,6 +137,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rid = free_name(docs, "_rid")
     rows = with_row_id(docs, rid)
     found = near_duplicates(rows.select("doc_id", "text", F.col(rid).alias("_rid")), ["doc_id", "_rid"])
+    found = materialise(found.select("doc_id", "_rid", "_class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("_first")
-    stay = found.groupBy("_class").agg(first).select(F.col("_first._rid").alias(rid))
-    return rows.join(stay.hint("shuffle_hash"), rid, "left_semi").select(*all_of(docs))
+    stay = found.groupBy("_class").agg(first).select("_first._rid")
+    # written, so that its size is known: while the copies are few, the texts needn't be shuffled to lose them
+    gone = materialise(found.join(stay, "_rid", "left_anti").select(F.col("_rid").alias(rid)))
+    return rows.join(gone, rid, "left_anti").select(*all_of(docs))
