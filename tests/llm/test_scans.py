@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,8 +58,8 @@ def test_trigram_queries(pattern, want):
 def test_trigram_queries_miss_no_match():
     rng = random.Random(4)
     for rule in secret_scan.RULES:
-        q = trigram_query(rule.pattern)
-        rx = re.compile(rule.pattern)
+        q = trigram_query(rule.inner or rule.pattern)
+        rx = re.compile(rule.inner.removeprefix("^") or rule.pattern)
         for t in [t for t in TEXTS if t]:
             if rx.search(t) and q is not True:
                 low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -66,6 +67,46 @@ def test_trigram_queries_miss_no_match():
     assert rng
 
 
+def added_spans(text):
+    """The kinds that the scan adds, by Python's own regexes."""
+    jwt = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    rules = [("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 40), ("jwt", jwt, 40), ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 27), ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 20)]
+    return [(m.start(), 3 + n, k, m.end()) for n, (k, rx, least) in enumerate(rules) for m in rx.finditer(text) if m.end() - m.start() >= least]
+
+
+def test_all_spans_of_random_texts(spark):
+    rng = random.Random(31)
+    bits = ["password", "secret=", "token: ", "apikey='", "AKIA" + "A1B2" * 4, "AKIAQ", "0f" * 9, "deadbeef", "eyJ" + "ab" * 9, ".", "." + "cd_-" * 8, "ghp_" + "Z9" * 19, "gho_x", "xoxb-" + "12-" * 7, "-----BEGIN ", "EC ", "PRIVATE KEY-----", " ", " ", "\n", "é", "\"", "abcdefghijkl", "-"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 400 if k % 9 == 0 else 40)))) for k in range(150)]
+    found = {r["doc_id"]: r for r in secret_scan.op2_secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = set()
+    for k, t in rows:
+        spans = sorted(base_spans(t) + added_spans(t))
+        kinds |= {s[2] for s in spans}
+        assert found[k]["spans"] == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+    assert len(kinds) == 7
+
+
+def test_candidates_have_all_trigrams_of_an_alternative():
+    queries = secret_scan.asked(secret_scan.RULES)
+    by = {}
+    for k, a, _, g in queries:
+        by.setdefault((k, a), set()).add(g)
+    assert {k for k, _ in by} == {0, 1, 3, 4, 5, 6} and all(len({bit for k_, a_, bit, _ in queries if (k_, a_) == ka}) == len(g) for ka, g in by.items())
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa-", "0123456789abcdef ", "AKIA" + "A" * 16 + " ", "password=abcdefghijklmn ", "-----BEGIN A"])
+def test_time_grows_with_the_length_of_a_text(spark, unit):
+    """A text twice as long takes about twice the time, not four times."""
+    took, sizes = [], (250_000, 500_000, 1_000_000)
+    for size in sizes:
+        df = spark.createDataFrame([(1, unit * (size // len(unit)))], "doc_id long, text string").coalesce(1)
+        began = time.time()
+        secret_scan.op2_secret_scan(df).collect()
+        took.append(time.time() - began)
+    assert took[2] < 20 and took[2] - took[1] < 4 * max(1.0, took[1])
+
+
 def distance(pattern, text):
     """Least edits of the pattern against any part of the text, by the textbook table."""
     row = [0] * (len(text) + 1)
