@@ -1,19 +1,18 @@
 """Substring dedup: passages of over 50 words that repeat across documents, by paragraph MinHash banding.
 
-Words are runs without blanks, in lower case (A-Z), whatever the line breaks between them. Two kinds of paragraph are compared:
+Words are runs without blanks, in lower case (A-Z). Two things are repeats:
 
-- lines of at least LEAST_WORDS words. MinHash over five-word shingles, BANDS bands of ROWS values: lines at Jaccard 0.8 collide
-  with probability 1 - (1 - 0.8^3)^8 = 0.997. Lines that collide are verified by exact Jaccard >= 0.8, block by block.
-- anchored windows of WINDOW words, for passages that don't keep their line breaks. Winnowing (Schleimer et al., 2003) takes, of
-  every LEAST_WORDS - WINDOW + 1 windows in a row, the one whose MinHash value is least, so any passage of LEAST_WORDS words that two
-  documents share holds a window that both take. Of equal words all bands are equal: one key and equality decide.
+- Paragraphs: lines of at least LEAST_WORDS words, and blocks of several lines between blank ones, so that text which is wrapped at
+  other places compares too. MinHash over five-word shingles, BANDS bands of ROWS values: paragraphs at Jaccard 0.8 collide with
+  probability 1 - (1 - 0.8^3)^8 = 0.997. Those that collide are verified by exact Jaccard >= 0.8 on their shingles' 64-bit hashes, block
+  by block, and clustered by connected components.
+- Passages: any run of LEAST_WORDS words that two documents share, wherever it begins and however its lines break. Winnowing (Schleimer
+  et al., 2003) takes, of every LEAST_WORDS - WINDOW + 1 windows in a row, the one whose hash is least, so two documents with the same run
+  take the same window of it. Runs whose window repeats are compared by the hash of the run itself: two hashes of 64 bits must agree
+  before a word is removed. All such runs are found, hence whole passages to their ends.
 
-Winnowed windows miss up to 19 words at each end of a passage, so a second pass finds its ends: of each run of LEAST_WORDS words whose
-winnowed window repeats, the hash is compared too. All such runs that a smaller doc_id has are removed, hence whole common passages.
-
-Equal or linked paragraphs form clusters by connected components. A cluster that lies in two documents or more is a repeat; it is
-kept in the document with the smallest doc_id and removed from all others. Documents are classed by the components that their
-repeats make.
+A repeat is kept in the document with the smallest doc_id of its cluster and removed from all others. Documents are classed by the
+components that their repeats make.
 
 Defined results: null, empty and short texts have no paragraphs; a passage that repeats within one document only isn't a repeat; rows
 of one doc_id are one document here and are returned each; rows with a null doc_id have no repeats and a null class; an empty table
@@ -32,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.blocks import linked
-from mirador.llm.common import materialise
+from mirador.llm.common import discard, materialise
 from mirador.llm.graph import components
 
 LEAST_WORDS, WINDOW, SHINGLE = 51, 32, 5
 BANDS, ROWS, JACCARD = 8, 3, 0.8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
-_CACHED = 400_000
+_CACHED = 1 << 17
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -120,45 +119,57 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first word, end) of the paragraphs among lines of these sizes: long lines, and blocks of several lines between blank ones."""
+    at = start = lines = 0
+    for n in [*sizes, 0]:
+        if n >= LEAST_WORDS:
+            yield at, at + n
+        if n:
+            lines += 1
+            at += n
+            continue
+        if lines > 1 and at - start >= LEAST_WORDS:
+            yield start, at
+        start, lines = at, 0
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(line, key, doc_id, word_from, word_to, bands, shingles): key is the hash of the words; the last two of lines only."""
+    """(line, key, doc_id, word_from, word_to, bands, shingles): winnowed windows and, as lines, paragraphs. key is the hash of the words;
+    the last two of paragraphs only."""
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("_text"))
-    schema = "line boolean, key long, doc_id long, word_from int, word_to int, bands array<long>, shingles array<int>"
+    schema = "line boolean, key long, doc_id long, word_from int, word_to int, bands array<long>, shingles array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            of_lines: list[tuple] = []
+            keys, own, at, blocks = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 lines = [line.split() for line in (text.as_py() or b"").lower().split(b"\n")]
                 words = [w for line in lines for w in line]
                 if len(words) < LEAST_WORDS:
                     continue
                 h = hashed(words, known)
-                at, five = 0, grams(h, SHINGLE)
-                for line in lines:
-                    n = len(line)
-                    if n >= LEAST_WORDS:
-                        own = np.unique(five[at : at + n - SHINGLE + 1])
-                        key = xxhash.xxh3_64_intdigest(h[at : at + n].tobytes())
-                        of_lines.append((np.uint64(key).astype(np.int64), doc, at, at + n, signature(own), np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)))
-                    at += n
+                five = grams(h, SHINGLE)
+                for lo, hi in _blocks(list(map(len, lines))):
+                    shingles = np.unique(five[lo : hi - SHINGLE + 1])
+                    key = np.uint64(xxhash.xxh3_64_intdigest(h[lo:hi].tobytes())).astype(np.int64)
+                    blocks.append((key, doc, lo, hi, signature(shingles), shingles.view(np.int64)))
                 windows = grams(h, WINDOW)
                 places = anchors(windows, LEAST_WORDS - WINDOW + 1)
-                cols[1].append(windows[places].view(np.int64))
-                cols[2].append(np.full(len(places), doc))
-                cols[3].append(places.astype(np.int32))
-            if cols[1]:
-                key, own, at = (np.concatenate(c) for c in cols[1:4])
-                yield _rows(False, key, own, at, at + np.int32(WINDOW), None, None)
-            if of_lines:
-                key, own, lo, hi, b, s = zip(*of_lines, strict=True)
-                yield _rows(True, np.array(key), np.array(own), np.array(lo, dtype=np.int32), np.array(hi, dtype=np.int32), band_keys(np.array(b)), s)
+                keys.append(windows[places].view(np.int64))
+                own.append(np.full(len(places), doc))
+                at.append(places.astype(np.int32))
+            if keys:
+                place = np.concatenate(at)
+                yield _rows(False, np.concatenate(keys), np.concatenate(own), place, place + np.int32(WINDOW), None, None)
+            if blocks:
+                key, doc, lo, hi, b, s = zip(*blocks, strict=True)
+                yield _rows(True, np.array(key), np.array(doc), np.array(lo, dtype=np.int32), np.array(hi, dtype=np.int32), band_keys(np.array(b)), s)
 
     def _rows(line, key, own, lo, hi, b, s) -> pa.RecordBatch:
         n = len(key)
-        lists = [pa.nulls(n, pa.list_(t)) if x is None else pa.array(list(x), pa.list_(t)) for x, t in ((b, pa.int64()), (s, pa.int32()))]
+        lists = [pa.nulls(n, pa.list_(pa.int64())) if x is None else pa.array(list(x), pa.list_(pa.int64())) for x in (b, s)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, line)), pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *lists], ["line", "key", "doc_id", "word_from", "word_to", "bands", "shingles"])
 
     return slim.mapInArrow(run, schema)
@@ -186,28 +197,33 @@ def _similar(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(a) if a else none, np.concatenate(b) if b else none
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(line, doc_id, word_from, word_to, keeper): each paragraph whose cluster lies in several documents; keeper: the smallest of these."""
-    all_ = materialise(paragraphs(docs))
-    lines = all_.where("line").select("key", "bands", "shingles").dropDuplicates(["key"])
-    lines = materialise(lines.withColumnRenamed("key", "node"))
-    keyed = lines.select("node", F.explode("bands").alias("band"))
-    edges = linked(keyed, "band", "node", _similar, lines.select("node", F.col("shingles").alias("payload")))
-    labels = components(edges).select(F.col("node").alias("key"), "component")
-    place = ["key", "doc_id", "word_from", "word_to"]
-    # windows and lines have hashes of different kinds; a cluster is of one kind
-    own = all_.where("not line").select(F.lit(False).alias("line"), *place)
-    own = own.unionByName(
-        all_.where("line").select(*place).join(labels, "key", "left").select(F.lit(True).alias("line"), F.coalesce("component", "key").alias("key"), *place[1:])
-    )
-    clusters = own.groupBy("line", "key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last")
-    return own.join(clusters.drop("_last"), ["line", "key"]).select("line", "doc_id", "word_from", "word_to", "keeper")
-
-
-def removed_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, runs): the maximal word ranges of each document that are made of runs of LEAST_WORDS words which a document with a
-    smaller doc_id has. Equal runs have the same winnowed window, so only those whose window is in found (of repeats) can be."""
-    hits = materialise(found.where("not line").groupBy("doc_id").agg(F.collect_set("word_from").alias("_hits")))
+PLACE = ["doc_id", "word_from", "word_to"]
+
+
+def _clustered(rows: DataFrame) -> DataFrame:
+    """rows(key, ...) whose key lies in several documents, with keeper, the smallest of these, instead of the key. The keys are written, so
+    that the rows of a frequent key are the skewed side of a join, which adaptive execution deals out."""
+    keys = rows.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last").drop("_last")
+    return rows.join(materialise(keys), "key").drop("key")
+
+
+def similar_paragraphs(lines: DataFrame) -> DataFrame:
+    """(doc_id, word_from, word_to, keeper) of the paragraphs that have an equal or similar one in another document. lines: of paragraphs()."""
+    distinct = materialise(lines.select(F.col("key").alias("node"), "bands", "shingles").dropDuplicates(["node"]))
+    keyed = distinct.select("node", F.size("shingles").alias("n"), F.explode("bands").alias("band"))
+    edges = linked(keyed, "band", "node", _similar, distinct.select("node", F.col("shingles").alias("payload")), weight="n")
+    labels = components(edges).withColumnRenamed("node", "key")
+    own = lines.select("key", *PLACE).join(labels, "key", "left").select(F.coalesce("component", "key").alias("key"), *PLACE)
+    found = materialise(_clustered(own))
+    discard(distinct)
+    return found
+
+
+def shared_runs(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, word_from, word_to, keeper) of each run of LEAST_WORDS words that several documents have. Equal runs have the same winnowed
+    window, so only runs whose window repeats are hashed. windows: of paragraphs()."""
+    hits = _clustered(windows.select("key", *PLACE)).groupBy("doc_id").agg(F.collect_set("word_from").alias("_hits"))
+    hits = materialise(hits)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).join(hits, "doc_id")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,52 +239,61 @@ def removed_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
                 hit[at[at < len(words)]] = True  # rows of one doc_id may have texts of several lengths
                 at = np.flatnonzero(hit[winnowed(grams(h, WINDOW), LEAST_WORDS - WINDOW + 1)])
                 key = grams(h, LEAST_WORDS)[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), doc), pa.int64()), pa.array(at.astype(np.int32))], ["key", "doc_id", "word_from"])
+                at = at.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), doc), pa.int64()), pa.array(at), pa.array(at + np.int32(LEAST_WORDS))], ["key", *PLACE])
 
-    runs = materialise(slim.select("doc_id", "_text", "_hits").mapInArrow(near, "key long, doc_id long, word_from int"))
-    keepers = runs.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last")
-    gone = runs.join(keepers.drop("_last"), "key").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("word_from").alias("_at"))
+    runs = materialise(slim.mapInArrow(near, "key long, doc_id long, word_from int, word_to int"))
+    found = materialise(_clustered(runs))
+    discard(hits, runs)
+    return found
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for own in batch.column(1):
-                at = np.sort(own.values.to_numpy(zero_copy_only=False))
-                cut = np.flatnonzero(np.diff(at) > LEAST_WORDS) + 1
-                lo, hi = at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))] + LEAST_WORDS
-                out.append([{"word_from": a, "word_to": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("word_from", pa.int32()), ("word_to", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "runs"])
 
-    return gone.mapInArrow(joined, "doc_id long, runs array<struct<word_from:int,word_to:int>>")
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, word_from, word_to, keeper): the paragraphs and runs that lie in several documents; keeper: the smallest of these."""
+    all_ = materialise(paragraphs(docs))
+    found = similar_paragraphs(all_.where("line")).unionByName(shared_runs(docs, all_.where("not line")))
+    discard(all_)
+    return found
+
+
+_RANGES = pa.list_(pa.struct([("word_from", pa.int32()), ("word_to", pa.int32())]))
+
+
+def merged(lo: np.ndarray, hi: np.ndarray) -> list[dict[str, int]]:
+    """Ranges that overlap or touch as one, in order; a sort and one pass."""
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, upto = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > upto[:-1])))
+    last = np.concatenate((first[1:] - 1, [len(lo) - 1]))
+    return [{"word_from": a, "word_to": b} for a, b in zip(lo[first].tolist(), upto[last].tolist(), strict=True)]
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, n_repeats (paragraphs that other documents have), n_removed (of these, the ones another
-    document keeps), words_removed, removed (their word ranges, merged) and component_id."""
-    found = materialise(repeats(docs))
-    gone = F.col("doc_id") != F.col("keeper")
-    by = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_repeats"), F.count_if(gone).alias("n_removed"),
-        F.array_sort(F.collect_set(F.when(gone, F.struct("word_from", "word_to")))).alias("_spans"),
-    )
-    ranges = "array<struct<word_from:int,word_to:int>>"
+    """A row for each row of docs: doc_id, n_repeats (passages that other documents have), n_removed (those that another document
+    keeps), words_removed, removed (their word ranges; repeats that overlap or touch are one) and component_id."""
+    found = repeats(docs)
+    by = found.groupBy("doc_id").agg(F.collect_set(F.struct("word_from", "word_to", (F.col("doc_id") != F.col("keeper")).alias("gone"))).alias("_own"))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_repeats, removed = [], []
+            for own in batch.column(1):
+                lo, hi, gone = (own.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                n_repeats.append(len(merged(lo, hi)))
+                removed.append(merged(lo[gone], hi[gone]))
+            words = [sum(r["word_to"] - r["word_from"] for r in ranges) for ranges in removed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_repeats, pa.int64()), pa.array(words, pa.int64()), pa.array(removed, _RANGES)], ["doc_id", "n_repeats", "words_removed", "removed"])
 
-    def widen(acc, s):
-        last = F.element_at(acc, -1)
-        apart = (F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["word_to"] < s["word_from"])
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(last["word_from"].alias("word_from"), F.greatest(last["word_to"], s["word_to"]).alias("word_to"))))
-        return F.when(apart, F.concat(acc, F.array(s))).otherwise(joined)
-
-    by = by.join(removed_runs(docs, found), "doc_id", "left")
-    by = by.withColumn("_spans", F.array_sort(F.concat("_spans", F.coalesce("runs", F.array().cast(ranges))))).drop("runs")
-    by = by.withColumn("removed", F.aggregate("_spans", F.array().cast(ranges), widen)).drop("_spans")
-    by = by.withColumn("words_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + (s["word_to"] - s["word_from"])))
-    labels = components(found.where(gone).select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")))
+    ranges = "array<struct<word_from:int,word_to:int>>"
+    by = by.mapInArrow(gathered, f"doc_id long, n_repeats long, words_removed long, removed {ranges}")
+    labels = components(found.where("doc_id <> keeper").select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")))
     by = by.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(by, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.select("doc_id", zero("n_repeats"), zero("n_removed"), zero("words_removed"), F.coalesce("removed", F.array().cast(ranges)).alias("removed"), F.coalesce("component", "doc_id").alias("component_id"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    removed = F.coalesce("removed", F.array().cast(ranges)).alias("removed")
+    return rows.select("doc_id", zero("n_repeats").alias("n_repeats"), F.size(removed).cast("long").alias("n_removed"), zero("words_removed").alias("words_removed"), removed, F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op3_substring_dedup(docs: DataFrame) -> DataFrame:
