@@ -2,10 +2,11 @@
 
 Words are runs without blanks, in lower case (A-Z). Two things are repeats:
 
-- Paragraphs: lines of at least LEAST_WORDS words, and blocks of several lines between blank ones, so that text which is wrapped at
-  other places compares too. MinHash over five-word shingles, BANDS bands of ROWS values: paragraphs at Jaccard 0.8 collide with
-  probability 1 - (1 - 0.8^3)^8 = 0.997. Those that collide are verified by exact Jaccard >= 0.8 on their shingles' 64-bit hashes, block
-  by block, and clustered by connected components.
+- Paragraphs: lines of at least LEAST_WORDS words, and blocks of several shorter lines between these and blank ones, so that text
+  which is wrapped at other places compares too. MinHash over five-word shingles, BANDS bands of ROWS values: paragraphs at Jaccard 0.8
+  collide with probability 1 - (1 - 0.8^3)^8 = 0.997. Of those that collide, pairs with AGREE of all 24 values equal (probability 0.996
+  at 0.8) are read again and verified by exact Jaccard >= 0.8 on their shingles' 64-bit hashes, block by block, and clustered by
+  connected components.
 - Passages: any run of LEAST_WORDS words that two documents share, wherever it begins and however its lines break. Winnowing (Schleimer
   et al., 2003) takes, of every LEAST_WORDS - WINDOW + 1 windows in a row, the one whose hash is least, so two documents with the same run
   take the same window of it. Runs whose window repeats are compared by the hash of the run itself: two hashes of 64 bits must agree
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.blocks import linked
@@ -35,10 +36,11 @@ from mirador.llm.common import discard, materialise
 from mirador.llm.graph import components
 
 LEAST_WORDS, WINDOW, SHINGLE = 51, 32, 5
-BANDS, ROWS, JACCARD = 8, 3, 0.8
+BANDS, ROWS, JACCARD, AGREE = 8, 3, 0.8, 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _CACHED = 1 << 17
+PLACE = ["doc_id", "word_from", "word_to"]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -101,44 +103,53 @@ _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS MinHash values of a set of shingle hashes. These are mixed already, so a product orders them anew."""
+    """BANDS * ROWS MinHash values of a set of shingle hashes, 32 bits of each. These are mixed already, so a product orders them anew."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 4096):  # a bounded table at a time
             least = np.minimum(least, ((shingles[at : at + 4096] ^ _B[:, None]) * _A[:, None]).min(axis=1))
-    return least
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """A key for each band of each signature."""
-    with np.errstate(over="ignore"):
-        rows = signatures.reshape(-1, BANDS, ROWS)
-        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(rows), 1))
-        for r in range(ROWS):
-            key = _mixed(key * np.uint64(_BASE) + rows[:, :, r])
-    return key.view(np.int64)
+def bands(signature_: Column) -> Column:
+    """A key for each band of a signature."""
+    key = lambda k: F.xxhash64(k, *[F.get(signature_, k * ROWS + r) for r in range(ROWS)])
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)
+
+
+def _key(words: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64))
+
+
+def _rows(line: bool, key, doc, lo, hi, lists: list | None, name: str, kind: pa.DataType) -> pa.RecordBatch:
+    n = len(key)
+    lists = pa.nulls(n, pa.list_(kind)) if lists is None else pa.array(lists, pa.list_(kind))
+    cols = [pa.array(np.full(n, line)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), lists]
+    return pa.RecordBatch.from_arrays(cols, ["line", "key", *PLACE, name])
 
 
 def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """(first word, end) of the paragraphs among lines of these sizes: long lines, and blocks of several lines between blank ones."""
+    """(first word, end) of the paragraphs among lines of these sizes: long lines, and blocks of several shorter lines between those and
+    blank ones."""
     at = start = lines = 0
     for n in [*sizes, 0]:
-        if n >= LEAST_WORDS:
-            yield at, at + n
-        if n:
+        if 0 < n < LEAST_WORDS:
             lines += 1
             at += n
             continue
         if lines > 1 and at - start >= LEAST_WORDS:
             yield start, at
+        if n:
+            yield at, at + n
+        at += n
         start, lines = at, 0
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(line, key, doc_id, word_from, word_to, bands, shingles): winnowed windows and, as lines, paragraphs. key is the hash of the words;
-    the last two of paragraphs only."""
+    """(line, key, doc_id, word_from, word_to, signature): winnowed windows and, as lines, paragraphs, which alone have signatures. key is
+    the hash of the words."""
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("_text"))
-    schema = "line boolean, key long, doc_id long, word_from int, word_to int, bands array<long>, shingles array<long>"
+    schema = "line boolean, key long, doc_id long, word_from int, word_to int, signature array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -152,9 +163,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 h = hashed(words, known)
                 five = grams(h, SHINGLE)
                 for lo, hi in _blocks(list(map(len, lines))):
-                    shingles = np.unique(five[lo : hi - SHINGLE + 1])
-                    key = np.uint64(xxhash.xxh3_64_intdigest(h[lo:hi].tobytes())).astype(np.int64)
-                    blocks.append((key, doc, lo, hi, signature(shingles), shingles.view(np.int64)))
+                    blocks.append((_key(h[lo:hi]), doc, lo, hi, signature(five[lo : hi - SHINGLE + 1])))
                 windows = grams(h, WINDOW)
                 places = anchors(windows, LEAST_WORDS - WINDOW + 1)
                 keys.append(windows[places].view(np.int64))
@@ -162,15 +171,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 at.append(places.astype(np.int32))
             if keys:
                 place = np.concatenate(at)
-                yield _rows(False, np.concatenate(keys), np.concatenate(own), place, place + np.int32(WINDOW), None, None)
+                yield _rows(False, np.concatenate(keys), np.concatenate(own), place, place + np.int32(WINDOW), None, "signature", pa.int32())
             if blocks:
-                key, doc, lo, hi, b, s = zip(*blocks, strict=True)
-                yield _rows(True, np.array(key), np.array(doc), np.array(lo, dtype=np.int32), np.array(hi, dtype=np.int32), band_keys(np.array(b)), s)
-
-    def _rows(line, key, own, lo, hi, b, s) -> pa.RecordBatch:
-        n = len(key)
-        lists = [pa.nulls(n, pa.list_(pa.int64())) if x is None else pa.array(list(x), pa.list_(pa.int64())) for x in (b, s)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, line)), pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *lists], ["line", "key", "doc_id", "word_from", "word_to", "bands", "shingles"])
+                key, doc, lo, hi, b = zip(*blocks, strict=True)
+                yield _rows(True, key, doc, lo, hi, list(b), "signature", pa.int32())
 
     return slim.mapInArrow(run, schema)
 
@@ -185,10 +189,11 @@ def _similar(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarra
     a, b = [], []
     for i, own in enumerate(left):
         lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
-        some = [row[x:y] for x, y in zip(lo, hi, strict=True) if y > x]
-        if not some:
+        n = hi - lo
+        upto = np.cumsum(n)
+        if not upto[-1]:
             continue
-        both = np.bincount(np.concatenate(some), minlength=len(right))
+        both = np.bincount(row[np.repeat(lo - upto + n, n) + np.arange(upto[-1])], minlength=len(right))
         j = np.nonzero(both >= JACCARD * (len(own) + sizes - both))[0]
         j = j[j > i] if same else j
         a.append(np.full(len(j), i))
@@ -197,9 +202,6 @@ def _similar(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(a) if a else none, np.concatenate(b) if b else none
 
 
-PLACE = ["doc_id", "word_from", "word_to"]
-
-
 def _clustered(rows: DataFrame) -> DataFrame:
     """rows(key, ...) whose key lies in several documents, with keeper, the smallest of these, instead of the key. The keys are written, so
     that the rows of a frequent key are the skewed side of a join, which adaptive execution deals out."""
@@ -207,52 +209,88 @@ def _clustered(rows: DataFrame) -> DataFrame:
     return rows.join(materialise(keys), "key").drop("key")
 
 
-def similar_paragraphs(lines: DataFrame) -> DataFrame:
-    """(doc_id, word_from, word_to, keeper) of the paragraphs that have an equal or similar one in another document. lines: of paragraphs()."""
-    distinct = materialise(lines.select(F.col("key").alias("node"), "bands", "shingles").dropDuplicates(["node"]))
-    keyed = distinct.select("node", F.size("shingles").alias("n"), F.explode("bands").alias("band"))
-    edges = linked(keyed, "band", "node", _similar, distinct.select("node", F.col("shingles").alias("payload")), weight="n")
-    labels = components(edges).withColumnRenamed("node", "key")
-    own = lines.select("key", *PLACE).join(labels, "key", "left").select(F.coalesce("component", "key").alias("key"), *PLACE)
-    found = materialise(_clustered(own))
-    discard(distinct)
-    return found
-
-
-def shared_runs(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, word_from, word_to, keeper) of each run of LEAST_WORDS words that several documents have. Equal runs have the same winnowed
-    window, so only runs whose window repeats are hashed. windows: of paragraphs()."""
-    hits = _clustered(windows.select("key", *PLACE)).groupBy("doc_id").agg(F.collect_set("word_from").alias("_hits"))
-    hits = materialise(hits)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).join(hits, "doc_id")
+def looked_up(docs: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, key, doc_id, word_from, word_to, shingles), of one more pass over the texts that are asked for: the runs whose winnowed window
+    is in hits(doc_id, word_from), with the hash of the run as key; and as lines, the paragraphs wanted(node, doc_id, word_from, word_to) with
+    the hashes of their shingles."""
+    hits = hits.groupBy("doc_id").agg(F.collect_set("word_from").alias("_hits"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("word_from", "word_to", "node")).alias("_wanted"))
+    asked = materialise(hits.join(wanted, "doc_id", "full"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).join(asked, "doc_id")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, own, paragraphs_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = (text.as_py() or b"").lower().split()
                 if len(words) < LEAST_WORDS:
                     continue
                 h = hashed(words, known)
-                hit = np.zeros(len(words), dtype=bool)
-                at = own.values.to_numpy(zero_copy_only=False)
-                hit[at[at < len(words)]] = True  # rows of one doc_id may have texts of several lengths
-                at = np.flatnonzero(hit[winnowed(grams(h, WINDOW), LEAST_WORDS - WINDOW + 1)])
-                key = grams(h, LEAST_WORDS)[at].view(np.int64)
-                at = at.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), doc), pa.int64()), pa.array(at), pa.array(at + np.int32(LEAST_WORDS))], ["key", *PLACE])
-
-    runs = materialise(slim.mapInArrow(near, "key long, doc_id long, word_from int, word_to int"))
-    found = materialise(_clustered(runs))
-    discard(hits, runs)
+                if own.is_valid:
+                    hit = np.zeros(len(words), dtype=bool)
+                    at = own.values.to_numpy(zero_copy_only=False)
+                    hit[at[at < len(words)]] = True  # rows of one doc_id may have texts of several lengths
+                    at = np.flatnonzero(hit[winnowed(grams(h, WINDOW), LEAST_WORDS - WINDOW + 1)]).astype(np.int32)
+                    key = grams(h, LEAST_WORDS)[at].view(np.int64)
+                    yield _rows(False, key, np.full(len(at), doc), at, at + np.int32(LEAST_WORDS), None, "shingles", pa.int64())
+                if paragraphs_.is_valid:
+                    five, out = grams(h, SHINGLE), []
+                    for lo, hi, node in (tuple(p.values()) for p in paragraphs_.as_py()):
+                        if hi <= len(h) and _key(h[lo:hi]) == node:
+                            out.append((node, doc, lo, hi, np.unique(five[lo : hi - SHINGLE + 1]).view(np.int64)))
+                    if out:
+                        yield _rows(True, *zip(*out, strict=True), "shingles", pa.int64())
+
+    found = materialise(slim.mapInArrow(run, "line boolean, key long, doc_id long, word_from int, word_to int, shingles array<long>"))
+    discard(asked)
     return found
 
 
+def _agreeing(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose signatures have AGREE values in common at least."""
+    x, y = np.array(left, dtype=np.int32), np.array(right, dtype=np.int32)
+    a, b = [], []
+    for at in range(0, len(x), 128):  # 128 * block * 24 bytes at a time
+        i, j = np.nonzero((x[at : at + 128, None, :] == y[None, :, :]).sum(axis=2, dtype=np.uint8) >= AGREE)
+        ok = i + at < j if same else np.ones(len(i), dtype=bool)
+        a.append(i[ok] + at)
+        b.append(j[ok])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _similar_components(met: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(node, component) of similar paragraphs. The first band links most; of the others, only keys whose nodes aren't all of one
+    component yet can change anything, so the nodes of all other keys aren't compared again."""
+    compare = lambda rows: linked(rows, "band", "node", _similar, payloads, weight="n")
+    first = materialise(compare(met.where("not later")))
+    labels = components(first)
+    rest = met.where("later").join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("_label"))
+    open_ = materialise(rest.groupBy("band").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).where("_a < _b").select("band"))
+    rest = materialise(rest.join(open_, "band", "left_semi").drop("_label"))
+    return components(first.unionByName(compare(rest)))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, word_from, word_to, keeper): the paragraphs and runs that lie in several documents; keeper: the smallest of these."""
     all_ = materialise(paragraphs(docs))
-    found = similar_paragraphs(all_.where("line")).unionByName(shared_runs(docs, all_.where("not line")))
-    discard(all_)
+    lines = all_.where("line")
+    distinct = lines.groupBy("key").agg(F.min(F.struct(*PLACE, "signature")).alias("_at"))
+    distinct = materialise(distinct.select(F.col("key").alias("node"), *[F.col(f"_at.{c}").alias(c) for c in (*PLACE, "signature")]))
+    keyed = distinct.select("node", (F.col("word_to") - F.col("word_from")).alias("n"), F.posexplode(bands(F.col("signature"))).alias("_at", "band"))
+    keyed = materialise(keyed.select("node", "n", "band", (F.col("_at") > 0).alias("later")))
+    close = materialise(linked(keyed.select("band", "node"), "band", "node", _agreeing, distinct.select("node", F.col("signature").alias("payload"))))
+    # only paragraphs that have a likely partner are read again
+    likely = materialise(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
+    met = materialise(keyed.join(likely, "node", "left_semi"))
+    wanted = distinct.select("node", *PLACE).join(likely, "node", "left_semi")
+    hits = _clustered(all_.where("not line").select("key", *PLACE)).select("doc_id", "word_from")
+    read = looked_up(docs, hits, wanted)
+    discard(keyed, close)
+
+    labels = _similar_components(met, read.where("line").select(F.col("key").alias("node"), F.col("shingles").alias("payload"))).withColumnRenamed("node", "key")
+    own = lines.select("key", *PLACE).join(labels, "key", "left").select(F.coalesce("component", "key").alias("key"), *PLACE)
+    found = materialise(_clustered(own).unionByName(_clustered(read.where("not line").select("key", *PLACE))))
+    discard(all_, distinct, likely, met, read)
     return found
 
 

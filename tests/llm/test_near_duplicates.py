@@ -269,7 +269,8 @@ def test_wrapped_paragraphs_with_an_edit(spark):
 
 def test_paragraphs_of_lines_and_blocks():
     n = substring.LEAST_WORDS
-    assert list(substring._blocks([n, 0, 30, 30, 0, 10, 0, n + 5, 3])) == [(0, n), (n, n + 60), (n + 70, 2 * n + 75), (n + 70, 2 * n + 78)]
+    assert list(substring._blocks([n, 0, 30, 30, 0, 10, 0, n + 5, 3])) == [(0, n), (n, n + 60), (n + 70, 2 * n + 75)]
+    assert list(substring._blocks([3, n, 20, 40, n + 1])) == [(3, n + 3), (n + 3, n + 63), (n + 63, 2 * n + 64)]
     assert list(substring._blocks([])) == [] and list(substring._blocks([n - 1])) == []
     assert substring.merged(np.array([5, 1, 9, 20]), np.array([9, 3, 12, 21])) == [{"word_from": 1, "word_to": 3}, {"word_from": 5, "word_to": 12}, {"word_from": 20, "word_to": 21}]
 
