@@ -39,7 +39,7 @@ LEAST_WORDS, WINDOW, SHINGLE = 51, 32, 5
 BANDS, ROWS, JACCARD, AGREE = 8, 3, 0.8, 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
-_CACHED = 1 << 17
+_CACHED = 1 << 18
 PLACE = ["doc_id", "word_from", "word_to"]
 
 
@@ -87,14 +87,17 @@ def anchors(hashes: np.ndarray, of: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, append=-1))]  # at never falls
 
 
-def hashed(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit hash of each word; known remembers a bounded number of them."""
-    if len(known) > _CACHED:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w) >> 1
-    return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
+class Words(dict):
+    """64-bit hashes of words; remembers those of a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 1
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > _CACHED:
+            self.clear()
+        return np.array(list(map(self.__getitem__, words)), dtype=np.int64).view(np.uint64)
 
 
 _rng = np.random.default_rng(20240229)
@@ -152,7 +155,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     schema = "line boolean, key long, doc_id long, word_from int, word_to int, signature array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Words()
         for batch in batches:
             keys, own, at, blocks = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -160,7 +163,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 words = [w for line in lines for w in line]
                 if len(words) < LEAST_WORDS:
                     continue
-                h = hashed(words, known)
+                h = known.of(words)
                 five = grams(h, SHINGLE)
                 for lo, hi in _blocks(list(map(len, lines))):
                     blocks.append((_key(h[lo:hi]), doc, lo, hi, signature(five[lo : hi - SHINGLE + 1])))
@@ -213,19 +216,19 @@ def looked_up(docs: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, key, doc_id, word_from, word_to, shingles), of one more pass over the texts that are asked for: the runs whose winnowed window
     is in hits(doc_id, word_from), with the hash of the run as key; and as lines, the paragraphs wanted(node, doc_id, word_from, word_to) with
     the hashes of their shingles."""
-    hits = hits.groupBy("doc_id").agg(F.collect_set("word_from").alias("_hits"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list("word_from").alias("_hits"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("word_from", "word_to", "node")).alias("_wanted"))
     asked = materialise(hits.join(wanted, "doc_id", "full"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).join(asked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Words()
         for batch in batches:
             for doc, text, own, paragraphs_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = (text.as_py() or b"").lower().split()
                 if len(words) < LEAST_WORDS:
                     continue
-                h = hashed(words, known)
+                h = known.of(words)
                 if own.is_valid:
                     hit = np.zeros(len(words), dtype=bool)
                     at = own.values.to_numpy(zero_copy_only=False)
@@ -312,7 +315,7 @@ def documents(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, n_repeats (passages that other documents have), n_removed (those that another document
     keeps), words_removed, removed (their word ranges; repeats that overlap or touch are one) and component_id."""
     found = repeats(docs)
-    by = found.groupBy("doc_id").agg(F.collect_set(F.struct("word_from", "word_to", (F.col("doc_id") != F.col("keeper")).alias("gone"))).alias("_own"))
+    by = found.groupBy("doc_id").agg(F.collect_list(F.struct("word_from", "word_to", (F.col("doc_id") != F.col("keeper")).alias("gone"))).alias("_own"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
