@@ -74,6 +74,12 @@ def polygon_box(points) -> tuple[Column, ...]:
     return tuple(x.cast("int") for x in (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 
+def is_polygon(points) -> Column:
+    """Whether there are points and each has both coordinates."""
+    c = _c(points)
+    return F.coalesce((F.size(c) > 0) & F.forall(c, lambda p: F.coalesce((F.size(p) >= 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull(), F.lit(False))), F.lit(False))
+
+
 def resize_scale(width, height, longest: int) -> Column:
     side = F.greatest(_c(width), _c(height))
     return F.when(side > longest, F.lit(float(longest)) / side).otherwise(1.0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.config import CLASSES
-from mirador.functions.geometry import box, degenerate, iou, iou_clamped
+from mirador.functions.geometry import box, degenerate, iou, iou_clamped, is_polygon, polygon_box
 
 
 def confident(detections: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -24,6 +24,12 @@ def sound(detections: DataFrame) -> DataFrame:
     return detections.where(~degenerate(box()))
 
 
+def from_polygons(detections: DataFrame, polygon: str = "polygon") -> DataFrame:
+    """detections with the boxes of their polygons; malformed polygons go."""
+    sound_ = detections.where(is_polygon(polygon))
+    return sound_.withColumns(dict(zip(("x1", "y1", "x2", "y2"), polygon_box(polygon), strict=True))).drop(polygon)
+
+
 def all_detectors(by_class: dict[str, DataFrame]) -> DataFrame:
     """Union in the fixed order face, text, logo, kept as detector_rank."""
     parts = [by_class[c].withColumn("detector_rank", F.lit(n)) for n, c in enumerate(CLASSES) if c in by_class]
@@ -45,22 +51,26 @@ def suppressed(detections: DataFrame, threshold: float = 0.5, group: tuple[str,
 
 def matched(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5, group: tuple[str, ...] = ("video_id", "frame_idx", "class_name"), tie: tuple[str, ...] = ("det_id",), truth_order: tuple[str, ...] = ("gt_id",)) -> DataFrame:
     """tp, fp, fn of each group. By falling confidence each prediction takes the free truth that it overlaps most, the first of
-    equals, if by the threshold at least."""
-    g = truth.select(*group, F.struct(*truth_order).alias("_gid"), *[F.col(k).alias(f"g{k}") for k in ("x1", "y1", "x2", "y2")])
-    pid = F.struct((-F.col("confidence")).alias("_o"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(tie)])
-    p = predictions.select(*group, pid.alias("_pid"), "x1", "y1", "x2", "y2")
-    pairs = p.join(g, list(group), "left").withColumn("_iou", F.when(F.col("_gid").isNotNull(), iou(box(), box("g"))))
-    taken = F.when(F.col("_iou") >= threshold, F.struct((-F.col("_iou")).alias("o"), F.col("_gid").alias("gid")))
-    wanted = pairs.groupBy(*group, "_pid").agg(F.array_sort(F.collect_list(taken)).alias("_wanted"))
-    by = wanted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_pid", "_wanted"))).alias("_all"), F.count("*").alias("n_pred"))
-    kind = F.transform(F.slice(F.element_at("_all", 1)["_wanted"], 1, 0), lambda w: w["gid"])
-
-    def step(acc, x):
-        free = F.filter(x["_wanted"], lambda w: ~F.array_contains(acc, w["gid"]))
-        return F.when(F.size(free) > 0, F.concat(acc, F.transform(F.slice(free, 1, 1), lambda w: w["gid"]))).otherwise(acc)
-
-    hits = by.select(*group, "n_pred", F.size(F.aggregate("_all", kind, step)).cast("long").alias("tp"))
-    n_gt = truth.groupBy(*group).agg(F.count("*").alias("n_gt"))
-    both = hits.join(n_gt, list(group), "full")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return both.select(*group, n("tp").alias("tp"), (n("n_pred") - n("tp")).alias("fp"), (n("n_gt") - n("tp")).alias("fn"), n("n_pred").alias("n_pred"), n("n_gt").alias("n_gt"))
+    equals, if by the threshold at least. Truths are told apart by their place in their order, so ids may repeat.
+
+    Each side is gathered once by group and the two meet in one join of equally partitioned rows; pairs exist only within a group's fold.
+    """
+    sides = ("x1", "y1", "x2", "y2")
+    corners = lambda b: tuple(b[k] for k in sides)
+    one = lambda *order: F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("order"), *sides)))
+    p = predictions.groupBy(*group).agg(one((-F.col("confidence")).alias("_o"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(tie)]).alias("_p"))
+    g = truth.groupBy(*group).agg(one(*[F.col(t).alias(f"_t{k}") for k, t in enumerate(truth_order)]).alias("_g"))
+
+    def step(used, x):
+        over = F.transform("_g", lambda t, n: F.struct((-iou(corners(x), corners(t))).alias("o"), n.alias("n")))
+        free = F.array_sort(F.filter(over, lambda c: (c["o"] <= -threshold) & ~F.array_contains(used, c["n"])))
+        return F.concat(used, F.transform(F.slice(free, 1, 1), lambda c: c["n"]))
+
+    hits = F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), F.size(F.aggregate("_p", F.array().cast("array<int>"), step))).otherwise(0)
+    both = p.join(g, list(group), "full").select(*group, hits.cast("long").alias("tp"), *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(k) for c, k in (("_p", "n_pred"), ("_g", "n_gt"))])
+    return both.select(*group, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), "n_pred", "n_gt")
+
+
+def prompted(by_prompt: list[DataFrame], threshold: float = 0.5, **order) -> DataFrame:
+    """Detections of several prompts for one class as one set: their union, suppressed across prompts."""
+    return suppressed(reduce(DataFrame.unionByName, by_prompt), threshold, **order)

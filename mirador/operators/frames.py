@@ -25,12 +25,21 @@ def sampled(frames: DataFrame, every: int = 30) -> DataFrame:
     return frames.where(F.pmod(F.col("frame_idx"), F.lit(every)) == 0)
 
 
+def frame_count(n) -> Column:
+    """Frames of a video by its container: unknown or negative counts are 0."""
+    return F.greatest(F.coalesce(F.col(n) if isinstance(n, str) else n, F.lit(0)), F.lit(0))
+
+
 def scene_cuts(frames: DataFrame, threshold: float = 30.0, grey: str = "grey", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """mad and is_scene_cut: the mean absolute difference to the frame before is over the threshold; the first frame isn't a cut."""
     before = F.lag(grey).over(_video(keys))
     out = frames.withColumn("_before", before)
-    out = out.withColumn("mad", F.when(F.col("_before").isNotNull(), mad(grey, "_before"))).drop("_before")
-    return out.withColumn("is_scene_cut", F.coalesce(F.col("mad") > threshold, F.lit(False)))
+    return cuts(out.withColumn("mad", F.when(F.col("_before").isNotNull(), mad(grey, "_before"))).drop("_before"), threshold)
+
+
+def cuts(frames: DataFrame, threshold: float = 30.0) -> DataFrame:
+    """is_scene_cut of frames with mad, which is null for the first."""
+    return frames.withColumn("is_scene_cut", F.coalesce(F.col("mad") > threshold, F.lit(False)))
 
 
 def scenes(frames: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:

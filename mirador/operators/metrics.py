@@ -44,16 +44,26 @@ def false_alarms(frames: DataFrame, predictions: DataFrame, truth: DataFrame, vi
 
 
 def detection_metrics(frames: DataFrame, predictions: DataFrame, truth: DataFrame, threshold: float = 0.5, video: tuple[str, ...] = ("video_id",), **order) -> DataFrame:
-    """For each video and class: tp, fp, fn, recall, precision, f1, fpr and the counts behind them."""
+    """For each video and class: tp, fp, fn, recall, precision, f1, fpr and the counts behind them.
+
+    All of it comes from one table of matched groups: a frame without truth but with predictions is a false alarm, and negative frames
+    are all processed ones but those with truth. Truth beyond the processed frames doesn't count.
+    """
     if threshold <= 0:
         raise ValueError("an overlap threshold lies above 0")
     processed = frames.select(*video, "frame_idx").distinct()
-    truth = truth.join(processed, [*video, "frame_idx"], "left_semi")
-    hits = matched(predictions, truth, threshold, (*video, "frame_idx", "class_name"), **order)
-    sums = hits.groupBy(*video, "class_name").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    alarms = false_alarms(frames, predictions, truth, video)
-    out = alarms.join(sums, [*video, "class_name"], "left").fillna(0, ["tp", "fp", "fn"])
-    return rates(out)
+    groups = matched(predictions, truth, threshold, (*video, "frame_idx", "class_name"), **order)
+    groups = groups.join(processed.withColumn("_in", F.lit(True)), [*video, "frame_idx"], "left")
+    inside = lambda c, else_=0: F.sum(F.when(F.col("_in"), F.col(c)).otherwise(else_)).alias(c)
+    sums = groups.groupBy(*video, "class_name").agg(
+        inside("tp"), inside("fp", F.col("n_pred")), inside("fn"), F.count_if(F.col("_in") & (F.col("n_gt") > 0)).alias("_with"),
+        F.count_if(F.col("_in") & (F.col("n_gt") == 0) & (F.col("n_pred") > 0)).alias("false_alarm_frames"),
+    )
+    total = processed.groupBy(*video).agg(F.count("*").alias("_all"))
+    classes = total.select("*", F.explode(F.array(*map(F.lit, CLASSES))).alias("class_name"))
+    out = classes.join(sums, [*video, "class_name"], "left").fillna(0, ["tp", "fp", "fn", "_with", "false_alarm_frames"])
+    out = out.withColumn("negative_frames", F.col("_all") - F.col("_with")).drop("_all", "_with")
+    return rates(out.withColumn("fpr", rate("false_alarm_frames", "negative_frames")))
 
 
 def micro(by_video: DataFrame) -> DataFrame:
@@ -65,6 +75,24 @@ def micro(by_video: DataFrame) -> DataFrame:
     return rates(sums)
 
 
+#: What a result says of a video beside its classes, and its value where there are no videos. Similarity and consistency of nothing are whole.
+MEANS = {"temporal_consistency": 1.0, "ssim": 1.0, "fps": 0.0, "reid_rate": 0.0}
+
+
+def macro(results: DataFrame, columns: tuple[str, ...] = tuple(MEANS)) -> DataFrame:
+    """One row: the plain mean over videos of each column that results have, null where it has none."""
+    return results.agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def aggregate(by_video: DataFrame, results: DataFrame) -> DataFrame:
+    """A row for each class over all videos: counts summed before their rates, fpr as the mean of the videos', and the macro means of results
+    beside them. Classes without rows count 0; without videos the means are those of MEANS."""
+    means = macro(results).withColumn("class_name", F.explode(F.array(*map(F.lit, CLASSES))))
+    # a row a class
+    out = means.join(F.broadcast(micro(by_video)), "class_name", "left")
+    return out.fillna(0, ["tp", "fp", "fn", "recall", "precision", "f1", "fpr", "n_videos"]).fillna(MEANS)
+
+
 def nested(by_video: DataFrame) -> DataFrame:
     """One row a video, a struct for each class: the shape of the result files."""
     one = lambda c: F.max(F.when(F.col("class_name") == c, F.struct(*["recall", "precision", "f1", "fpr", "tp", "fp", "fn"]))).alias(c)

@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +65,43 @@ def mean_similarity(values: DataFrame, group: tuple[str, ...] = ()) -> DataFrame
     return values.groupBy(*group).agg(F.coalesce(F.avg("ssim"), F.lit(1.0)).alias("ssim"), F.count("ssim").alias("n_ssim"))
 
 
-def grey(frames: DataFrame) -> DataFrame:
-    """frames with grey: luma of the pixels, flat, for scene cuts; the pixels themselves go no further."""
+#: Frames of a video that one task compares with their neighbours.
+RUN = 256
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows[["video_id", "frame_idx"]].assign(grey=[pixels.gray(_image(r.bgr, r.width, r.height)).ravel().astype(int).tolist() for r in rows.itertuples()])
 
-    return frames.mapInPandas(run, "video_id string, frame_idx int, grey array<int>")
+def differences(frames: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, mad): the mean absolute difference of each frame's luma to the frame before, null for the first frame.
+
+    Luma is taken where the pixels lie, a byte a pixel. Runs of RUN frames are compared by a task each, with the last frame of the run
+    before, so a long video is dealt out and only numbers leave. Frames are numbered without gaps; a frame whose predecessor
+    is missing has none, and neither have frames of another size than their predecessor's.
+    """
+
+    def luma(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = batch.to_pydict()
+            grey = [pixels.gray(_image(*x)).astype(np.uint8).tobytes() for x in zip(r["bgr"], r["width"], r["height"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(grey, pa.binary())], ["video_id", "frame_idx", "grey"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, None
+        for batch in batches:
+            out = []
+            for video, run, frame, grey in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3), strict=True):
+                now = np.frombuffer(grey.as_buffer(), dtype=np.uint8).astype(np.int16)
+                if frame // RUN == run:  # else it is here for the run after its own
+                    near = at == (video, frame - 1) and len(last) == len(now)
+                    out.append((video, frame, float(np.abs(now - last).mean()) if near else None))
+                last, at = now, (video, frame)
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["video_id", "frame_idx", "mad"])
+
+    grey = frames.select("video_id", "frame_idx", "width", "height", "bgr").mapInArrow(luma, "video_id string, frame_idx int, grey binary")
+    own = F.floor(F.col("frame_idx") / RUN).cast("int")
+    runs = F.when(F.pmod("frame_idx", F.lit(RUN)) == RUN - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = grey.select("video_id", F.explode(runs).alias("run"), "frame_idx", "grey")
+    dealt = dealt.repartition("video_id", "run").sortWithinPartitions("video_id", "run", "frame_idx")
+    return dealt.mapInArrow(compare, "video_id string, frame_idx int, mad double")
 
 
 class Detector(Protocol):

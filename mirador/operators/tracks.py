@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,21 +32,37 @@ def dead(tracks: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 def smoothed(tracks: DataFrame, values: tuple[str, ...] = ("x1", "y1", "x2", "y2"), alpha: float = 0.7, key: tuple[str, ...] = KEY) -> DataFrame:
     """Exponential smoothing of each island, truncated to whole pixels at every frame; its state is the truncated value.
 
-    That recurrence isn't linear, so no weighted window sum can stand for it: a fold over the island's frames, in order.
+    That recurrence isn't linear, so no weighted window sum can stand for it: the rows of a track, sorted, pass by one after another
+    and leave only the last one's values behind, whatever the length of the track.
     """
     rest = [c for c in tracks.columns if c not in key and c != "frame_idx"]
-    row = F.struct("frame_idx", *rest)
-    by = islands(tracks, key).groupBy(*key, "island").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    one = F.lit(1) - F.lit(float(alpha))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        new = [(F.lit(float(alpha)) * x[v] + one * last[v]).cast("int").alias(v) if v in values else x[v].alias(v) for v in ("frame_idx", *rest)]
-        return F.concat(acc, F.array(F.struct(*new)))
-
-    cast = F.transform("_rows", lambda x: F.struct(*[x[v].cast("int").alias(v) if v in values else x[v].alias(v) for v in ("frame_idx", *rest)]))
-    done = F.aggregate(F.slice("_r", 2, F.greatest(F.lit(1), F.size("_r"))), F.slice("_r", 1, 1), step)
-    return by.withColumn("_r", cast).select(*key, "island", F.explode(done).alias("_s")).select(*key, "island", "_s.*")
+    whole = [F.col(c).cast("int").alias(c) if c in values else F.col(c) for c in rest]
+    rows = tracks.select(*key, "frame_idx", *whole)
+    n_keys, at = len(key), [rows.columns.index(v) for v in values]
+    names = [*key, "island", "frame_idx", *rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, frame, seen, state = None, None, 0, [None] * len(at)
+        for batch in batches:
+            keys = zip(*[batch.column(k).to_pylist() for k in range(n_keys)], strict=True)
+            out, islands_ = [[] for _ in at], []
+            for own, now, *new in zip(keys, batch.column(n_keys).to_pylist(), *[batch.column(k).to_pylist() for k in at], strict=True):
+                if own != track:
+                    track, frame, seen = own, None, 0
+                if frame is not None and now == frame + 1:
+                    new = [None if x is None or s is None else int(alpha * x + (1 - alpha) * s) for x, s in zip(new, state, strict=True)]
+                frame, state, seen = now, new, seen + 1
+                islands_.append(now - seen)
+                for o, x in zip(out, new, strict=True):
+                    o.append(x)
+            cols = list(batch.columns)
+            for k, o in zip(at, out, strict=True):
+                cols[k] = pa.array(o, pa.int32())
+            yield pa.RecordBatch.from_arrays([*cols[:n_keys], pa.array(islands_, pa.int64()), *cols[n_keys:]], names)
+
+    kinds = dict(rows.dtypes) | {"island": "bigint"}
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "frame_idx")
+    return dealt.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 def active_counts(tracks: DataFrame, group: tuple[str, ...] = ("video_id", "frame_idx")) -> DataFrame:

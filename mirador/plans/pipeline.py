@@ -17,10 +17,9 @@ from mirador.operators.tracking import tracked
 
 
 def prepared(frame_pixels: DataFrame, config: Config) -> DataFrame:
-    """Frames without pixels: scene cuts, scenes and the gate. Only a grey signature enters the window."""
+    """Frames without pixels: scene cuts, scenes and the gate. Only numbers enter the windows."""
     limited = fr.first_frames(frame_pixels, config.max_frames)
-    grey = pictures.grey(limited)
-    cut = fr.scenes(fr.scene_cuts(grey, config.scene_cut)).drop("grey")
+    cut = fr.scenes(fr.cuts(pictures.differences(limited), config.scene_cut))
     size = limited.select("video_id", "frame_idx", "width", "height")
     return fr.gated(cut, config.detect_every).join(size, ["video_id", "frame_idx"])
 

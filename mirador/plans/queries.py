@@ -57,7 +57,8 @@ def _days(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, DAYS["spark"])
 
 
-TIE, GT_ORDER = ("ln", "pk", "sk"), ("ln", "pk", "sk")
+#: Whatever two boxes of a frame differ in; ids alone may repeat.
+TIE = GT_ORDER = ("ln", "pk", "sk", "x1", "y1", "x2", "y2")
 _IDS = "frame_idx, class_name, ln, pk, sk"
 _ID = ("frame_idx", "class_name", "ln", "pk", "sk")
 _BIG = lambda *names: ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
@@ -70,8 +71,8 @@ _IOU = """CASE WHEN least(p.x2, g.x2) > greatest(p.x1, g.x1) AND least(p.y2, g.y
   CAST((p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - (least(p.x2, g.x2) - greatest(p.x1, g.x1)) * (least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS DOUBLE)
   ELSE CAST(0 AS DOUBLE) END"""
 _MATCHED = f"""
-gt AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, class_name ORDER BY ln, pk, sk) AS gid FROM ({GT}) x),
-pred AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, class_name ORDER BY confidence DESC, ln, pk, sk) AS rk FROM ({PRED}) x),
+gt AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, class_name ORDER BY ln, pk, sk, x1, y1, x2, y2) AS gid FROM ({GT}) x),
+pred AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, class_name ORDER BY confidence DESC, ln, pk, sk, x1, y1, x2, y2) AS rk FROM ({PRED}) x),
 pairs AS (SELECT p.frame_idx, p.class_name, p.rk, g.gid, {_IOU} AS iou FROM pred p JOIN gt g ON p.frame_idx = g.frame_idx AND p.class_name = g.class_name),
 wanted AS (SELECT p.frame_idx, p.class_name, p.rk, coalesce(list(q.gid ORDER BY q.iou DESC, q.gid) FILTER (WHERE q.gid IS NOT NULL), []) AS c
   FROM pred p LEFT JOIN (SELECT * FROM pairs WHERE iou >= 0.5) q ON p.frame_idx = q.frame_idx AND p.class_name = q.class_name AND p.rk = q.rk
@@ -122,7 +123,7 @@ def greedy_match(s: SparkSession, d: str) -> DataFrame:
 
 @query("pair_iou", f"SELECT {', '.join(f'CAST(p.{c} AS BIGINT) AS {c}' if c != 'class_name' else 'p.class_name' for c in _ID)}, CAST(g.ln AS BIGINT) AS g_ln, CAST(g.pk AS BIGINT) AS g_pk, CAST(g.sk AS BIGINT) AS g_sk, round({_IOU}, 6) AS iou FROM ({PRED}) p JOIN ({GT}) g ON p.frame_idx = g.frame_idx AND p.class_name = g.class_name")
 def pair_iou(s: SparkSession, d: str) -> DataFrame:
-    truth = _gt(s, d).select("frame_idx", "class_name", *[F.col(c).alias(f"g_{c}") for c in TIE], *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
+    truth = _gt(s, d).select("frame_idx", "class_name", *[F.col(c).alias(f"g_{c}") for c in ("ln", "pk", "sk")], *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
     both = _pred(s, d).join(truth, ["frame_idx", "class_name"])
     return tidy(both.withColumn("iou", g.iou(g.box(), g.box("g"))), *_ID, "g_ln", "g_pk", "g_sk", "iou")
 
@@ -168,7 +169,7 @@ walk AS (SELECT DISTINCT frame_idx, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]
 final AS (SELECT frame_idx, unnest(arg_max(kept, rk)) AS rk FROM walk GROUP BY frame_idx)
 SELECT CAST(r.frame_idx AS BIGINT) AS frame_idx, r.class_name, {', '.join(f'CAST(r.{c} AS BIGINT) AS {c}' for c in ('ln', 'pk', 'sk'))}, round(r.confidence, 6) AS confidence FROM final f JOIN r ON r.frame_idx = f.frame_idx AND r.rk = f.rk""")
 def nms(s: SparkSession, d: str) -> DataFrame:
-    return tidy(boxes.suppressed(_pred(s, d), 0.5, ("video_id", "frame_idx"), TIE), *_ID, "confidence")
+    return tidy(boxes.suppressed(_pred(s, d), 0.5, ("video_id", "frame_idx"), ("ln", "pk", "sk")), *_ID, "confidence")
 
 
 # -- boxes ------------------------------------------------------------------------------------------------------------------
@@ -234,9 +235,29 @@ def polygon_bbox(s: SparkSession, d: str) -> DataFrame:
     return _boxes_as(_pred(s, d), g.polygon_box(polygon))
 
 
+@query("malformed_polygons", _BOXED("x1", "y1", "x2", "y2") + " WHERE (ln * 3 + pk) % 6 = 5")
+def malformed_polygons(s: SparkSession, d: str) -> DataFrame:
+    """Of polygons without points, without a coordinate, with a null one, of nulls, and no polygon at all, only whole ones have a box."""
+    x1, y1, x2, y2 = (c.cast("double") for c in g.box())
+    corner, none = lambda *x: F.array(*x), F.lit(None).cast("double")
+    kinds = [F.array().cast("array<array<double>>"), F.array(corner(x1, y1), corner(x2)), F.array(corner(x1, y1), corner(x2, none)), F.array(F.lit(None).cast("array<double>")), F.lit(None).cast("array<array<double>>")]
+    kind = (F.col("ln") * 3 + F.col("pk")) % 6
+    whole = F.array(corner(x1 + 0.4, y1), corner(x2, y1 + 0.2), corner(x2 + 0.9, y2), corner(x1, y2 + 0.3))
+    polygon = F.coalesce(*[F.when(kind == k, p) for k, p in enumerate(kinds[:4])], F.when(kind == 4, kinds[4]), F.when(kind == 5, whole))
+    return _boxes_as(boxes.from_polygons(_pred(s, d).withColumn("polygon", polygon)), g.box())
+
+
+@query("prompt_union", _found["nms"][1].replace(f"FROM ({PRED}) x)", f"FROM ({PRED}) x WHERE class_name = 'logo')", 1))
+def prompt_union(s: SparkSession, d: str) -> DataFrame:
+    """Logos found by three prompts, as one set without those that another prompt found too."""
+    logos = _pred(s, d).where("class_name = 'logo'")
+    by_prompt = [logos.where(F.pmod("pk", F.lit(3)) == k) for k in range(3)]
+    return tidy(boxes.prompted(by_prompt, 0.5, tie=("ln", "pk", "sk")), *_ID, "confidence")
+
+
 @query("tie_rank", f"SELECT {_BIG('frame_idx')}, class_name, {_BIG('ln', 'pk', 'sk')}, row_number() OVER (PARTITION BY frame_idx, class_name ORDER BY confidence DESC, ln, pk, sk) AS rank FROM ({PRED}) x")
 def tie_rank(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("frame_idx", "class_name").orderBy(F.desc("confidence"), *TIE)
+    w = Window.partitionBy("frame_idx", "class_name").orderBy(F.desc("confidence"), "ln", "pk", "sk")
     return tidy(_pred(s, d).withColumn("rank", F.row_number().over(w)), *_ID, "rank")
 
 
@@ -248,46 +269,52 @@ def detector_union(s: SparkSession, d: str) -> DataFrame:
 
 # -- frames -----------------------------------------------------------------------------------------------------------------
 
-_MAD = f"""mads AS (SELECT frame_idx, CASE WHEN b IS NULL THEN NULL ELSE list_sum(list_transform(list_zip(grey, b), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) / len(grey) END AS mad
-  FROM (SELECT *, lag(grey) OVER (ORDER BY frame_idx) AS b FROM ({GREY}) x)),
-cuts AS (SELECT frame_idx, mad, coalesce(mad > {views.CUT}, false) AS is_scene_cut FROM mads),
-scened AS (SELECT *, sum(CAST(is_scene_cut AS INT)) OVER (ORDER BY frame_idx) AS scene_id, frame_idx % 5 = 0 OR is_scene_cut AS is_detection_frame FROM cuts)"""
+_MAD = f"""mads AS (SELECT video_id, frame_idx, CASE WHEN b IS NULL THEN NULL ELSE list_sum(list_transform(list_zip(grey, b), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) / len(grey) END AS mad
+  FROM (SELECT *, lag(grey) OVER (PARTITION BY video_id ORDER BY frame_idx) AS b FROM ({GREY}) x)),
+cuts AS (SELECT video_id, frame_idx, mad, coalesce(mad > {views.CUT}, false) AS is_scene_cut FROM mads),
+scened AS (SELECT *, sum(CAST(is_scene_cut AS INT)) OVER (PARTITION BY video_id ORDER BY frame_idx) AS scene_id, frame_idx % 5 = 0 OR is_scene_cut AS is_detection_frame FROM cuts)"""
 
 
 def _gated(s: SparkSession, d: str) -> DataFrame:
     return frames.gated(frames.scenes(frames.scene_cuts(view(s, d, GREY), views.CUT)), 5)
 
 
-@query("scene_cuts", f"WITH {_MAD} SELECT {_BIG('frame_idx')}, round(mad, 6) AS mad, is_scene_cut FROM cuts")
+@query("scene_cuts", f"WITH {_MAD} SELECT video_id, {_BIG('frame_idx')}, round(mad, 6) AS mad, is_scene_cut FROM cuts")
 def scene_cuts(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_gated(s, d), "frame_idx", "mad", "is_scene_cut")
+    return tidy(_gated(s, d), "video_id", "frame_idx", "mad", "is_scene_cut")
 
 
-@query("scene_segments", f"WITH {_MAD} SELECT {_BIG('frame_idx', 'scene_id')} FROM scened")
+@query("scene_segments", f"WITH {_MAD} SELECT video_id, {_BIG('frame_idx', 'scene_id')} FROM scened")
 def scene_segments(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_gated(s, d), "frame_idx", "scene_id")
+    return tidy(_gated(s, d), "video_id", "frame_idx", "scene_id")
 
 
-@query("sparse_gate", f"WITH {_MAD} SELECT {_BIG('frame_idx')}, is_detection_frame FROM scened")
+@query("sparse_gate", f"WITH {_MAD} SELECT video_id, {_BIG('frame_idx')}, is_detection_frame FROM scened")
 def sparse_gate(s: SparkSession, d: str) -> DataFrame:
-    return tidy(_gated(s, d), "frame_idx", "is_detection_frame")
+    return tidy(_gated(s, d), "video_id", "frame_idx", "is_detection_frame")
 
 
-@query("frame_sample", "SELECT CAST(vec_id AS BIGINT) AS frame_idx, CAST(vec_id // 30 AS BIGINT) AS sample_idx, round(vec_id / CAST(25 AS DOUBLE) * 1000, 6) AS timestamp_ms FROM embeddings WHERE vec_id % 30 = 0 AND vec_id < 400")
+@query("frame_sample", f"SELECT video_id, {_BIG('frame_idx')}, CAST(frame_idx // 30 AS BIGINT) AS sample_idx, round(frame_idx / CAST(25 AS DOUBLE) * 1000, 6) AS timestamp_ms FROM ({GREY}) x WHERE frame_idx % 30 = 0 AND frame_idx < 400")
 def frame_sample(s: SparkSession, d: str) -> DataFrame:
-    f = view(s, d, GREY).select("frame_idx", F.lit(25.0).alias("fps"))
+    f = view(s, d, GREY).select("video_id", "frame_idx", F.lit(25.0).alias("fps"))
     f = frames.timestamps(frames.sampled(frames.first_frames(f, 400), 30))
-    return tidy(f.withColumn("sample_idx", F.expr("frame_idx div 30")), "frame_idx", "sample_idx", "timestamp_ms")
+    return tidy(f.withColumn("sample_idx", F.expr("frame_idx div 30")), "video_id", "frame_idx", "sample_idx", "timestamp_ms")
 
 
-_TRACKED = "SELECT CAST(l_orderkey % 500 AS INT) AS frame_idx, CAST(l_orderkey AS BIGINT) AS track_id, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey"
+@query("frame_count", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(greatest(coalesce(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 100 - 10 END, 0), 0) AS BIGINT) AS n_frames FROM orders")
+def frame_count(s: SparkSession, d: str) -> DataFrame:
+    """Containers that give no count, or a negative one, have no frames."""
+    given = view(s, d, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 100 - 10 END AS n FROM orders")
+    return tidy(given.select("o_orderkey", frames.frame_count("n").alias("n_frames")))
 
 
-@query("hold_last", f"""WITH {_MAD}, t AS ({_TRACKED}), held AS (SELECT frame_idx, max(CASE WHEN is_detection_frame THEN frame_idx END) OVER (ORDER BY frame_idx) AS gate_frame FROM scened)
-SELECT {', '.join(f'CAST(h.{c} AS BIGINT) AS {c}' for c in ('frame_idx', 'gate_frame'))}, t.track_id, t.n FROM held h JOIN t ON t.frame_idx = h.gate_frame""")
+_TRACKED = f"SELECT concat('v', CAST(l_orderkey % {views.VIDEOS} AS STRING)) AS video_id, CAST(floor(l_orderkey / {views.VIDEOS}) % 500 AS INT) AS frame_idx, CAST(l_orderkey AS BIGINT) AS track_id, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey"
+
+
+@query("hold_last", f"""WITH {_MAD}, t AS ({_TRACKED}), held AS (SELECT video_id, frame_idx, max(CASE WHEN is_detection_frame THEN frame_idx END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS gate_frame FROM scened)
+SELECT h.video_id, {', '.join(f'CAST(h.{c} AS BIGINT) AS {c}' for c in ('frame_idx', 'gate_frame'))}, t.track_id, t.n FROM held h JOIN t ON t.video_id = h.video_id AND t.frame_idx = h.gate_frame""")
 def hold_last(s: SparkSession, d: str) -> DataFrame:
-    t = view(s, d, _TRACKED).withColumn("video_id", F.lit("v0"))
-    return tidy(frames.hold_last(_gated(s, d), t), "frame_idx", "gate_frame", "track_id", "n")
+    return tidy(frames.hold_last(_gated(s, d), view(s, d, _TRACKED)), "video_id", "frame_idx", "gate_frame", "track_id", "n")
 
 
 # -- tracks -----------------------------------------------------------------------------------------------------------------
@@ -364,6 +391,27 @@ def reid_summary(s: SparkSession, d: str) -> DataFrame:
     return tidy(reid.summary(_faces(s, d)), "n_tested", "n_reidentified", "mean_similarity", "reid_rate", *[f"{k}_{b}" for b in reid.BUCKETS for k in ("n", "rate")])
 
 
+@query("normalised_vectors", """SELECT CAST(vec_id AS BIGINT) AS vec_id, round(sqrt(list_dot_product(v, v)), 6) AS length, round(v[1], 6) AS first FROM (
+  SELECT vec_id, CASE WHEN n > 0 THEN list_transform(e, lambda x: x / n) ELSE e END AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings) a) b""")
+def normalised_vectors(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", g.normalised("embedding").alias("v"))
+    return tidy(e.select("vec_id", g.norm("v").alias("length"), F.get("v", F.lit(0)).alias("first")))
+
+
+_SEEN = f"SELECT video_id, frame_idx, grey FROM ({GREY}) x"
+_TRUE_FACES = f"SELECT concat('v', CAST(frame_idx % {views.VIDEOS} AS STRING)) AS video_id, CAST(floor(frame_idx / {views.VIDEOS}) AS INT) AS frame_idx, class_name, ln, pk, sk FROM ({GT}) b"
+
+
+@query("sampled_faces", f"""SELECT f.video_id, CAST(f.frame_idx AS BIGINT) AS frame_idx, CAST(f.frame_idx // 30 AS BIGINT) AS sample_idx, {', '.join(f'CAST(f.{c} AS BIGINT) AS {c}' for c in ('ln', 'pk', 'sk'))}, round(CAST(a.grey[1] AS DOUBLE), 6) AS before, round(CAST(b.grey[2] AS DOUBLE), 6) AS after
+FROM ({_TRUE_FACES}) f JOIN ({_SEEN}) a ON a.video_id = f.video_id AND a.frame_idx = f.frame_idx JOIN ({_SEEN}) b ON b.video_id = f.video_id AND b.frame_idx = f.frame_idx WHERE f.class_name = 'face' AND f.frame_idx % 30 = 0""")
+def sampled_faces(s: SparkSession, d: str) -> DataFrame:
+    """Faces of the truth on sampled frames that both videos have, with what these frames hold."""
+    seen = view(s, d, GREY)
+    before = seen.select("video_id", "frame_idx", F.get("grey", F.lit(0)).cast("double").alias("before"))
+    after = seen.select("video_id", "frame_idx", F.get("grey", F.lit(1)).cast("double").alias("after"))
+    return tidy(reid.sampled_faces(view(s, d, _TRUE_FACES), before, after, 30), "video_id", "frame_idx", "sample_idx", "ln", "pk", "sk", "before", "after")
+
+
 # -- reports ----------------------------------------------------------------------------------------------------------------
 
 _VALUES = ", ".join(f"CAST(round((100 - n % {7 + k}) / CAST(100 AS DOUBLE), 2) AS DOUBLE) AS {n}" for k, n in enumerate([c[0] for c in metrics.CHECKS if c[0] != "false_positive_rate"] + ["face_fpr", "text_fpr", "logo_fpr"]))
@@ -379,7 +427,23 @@ def passes_assignment(s: SparkSession, d: str) -> DataFrame:
 
 @query("mean_over_videos", f"WITH r AS ({_RESULTS}) SELECT {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('temporal_consistency', 'ssim', 'reid_rate', 'face_fpr', 'text_fpr', 'logo_fpr'))} FROM r")
 def mean_over_videos(s: SparkSession, d: str) -> DataFrame:
-    return tidy(view(s, d, _RESULTS).agg(*[F.avg(n).alias(n) for n in ("temporal_consistency", "ssim", "reid_rate", "face_fpr", "text_fpr", "logo_fpr")]))
+    return tidy(metrics.macro(view(s, d, _RESULTS), ("temporal_consistency", "ssim", "reid_rate", "face_fpr", "text_fpr", "logo_fpr")))
+
+
+_COUNTED = "SELECT concat('v', CAST(l_suppkey AS STRING)) AS video_id, CASE l_returnflag WHEN 'A' THEN 'face' ELSE 'text' END AS class_name, CAST(sum(l_linenumber) AS BIGINT) AS tp, CAST(count(*) AS BIGINT) AS fp, CAST(max(l_linenumber) AS BIGINT) AS fn, round(avg(l_discount), 6) AS fpr FROM lineitem GROUP BY l_suppkey, CASE l_returnflag WHEN 'A' THEN 'face' ELSE 'text' END"
+
+
+@query("aggregate_metrics", f"""WITH t AS (SELECT class_name, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(fpr) AS fpr, count(*) AS n_videos FROM ({_COUNTED}) c GROUP BY class_name),
+m AS (SELECT avg(temporal_consistency) AS temporal_consistency, avg(ssim) AS ssim, avg(face_fpr) * 10 AS fps, avg(reid_rate) AS reid_rate FROM ({_RESULTS}) r),
+z AS (SELECT c.class_name, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(fpr, 0) AS fpr, coalesce(n_videos, 0) AS n_videos FROM {_CLASSES} c LEFT JOIN t ON t.class_name = c.class_name),
+rated AS (SELECT *, {_RATE('tp', 'tp + fn')} AS r, {_RATE('tp', 'tp + fp')} AS p FROM z)
+SELECT class_name, {_BIG('tp', 'fp', 'fn', 'n_videos')}, round(r, 6) AS recall, round(p, 6) AS precision, round({_RATE('2 * p * r', 'p + r')}, 6) AS f1, round(fpr, 6) AS fpr,
+  round(temporal_consistency, 6) AS temporal_consistency, round(ssim, 6) AS ssim, round(fps, 6) AS fps, round(reid_rate, 6) AS reid_rate FROM rated, m""")
+def aggregate_metrics(s: SparkSession, d: str) -> DataFrame:
+    """All videos as one result: a class that no video has counts 0."""
+    means = view(s, d, _RESULTS).withColumn("fps", F.col("face_fpr") * 10)
+    out = metrics.aggregate(view(s, d, _COUNTED), means)
+    return tidy(out, "class_name", "tp", "fp", "fn", "n_videos", "recall", "precision", "f1", "fpr", "temporal_consistency", "ssim", "fps", "reid_rate")
 
 
 @query("metric_display", f"WITH r AS ({_RESULTS}) SELECT video_id, printf('%.1f%%', face_recall * 100) AS shown, CASE WHEN face_recall >= 0.95 THEN 'pass' ELSE 'fail' END AS status FROM r")

@@ -56,5 +56,6 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pixels(frames: DataFrame, path: str) -> None:
-    """Frames by video, in order within each: what an encoder would read from front to back."""
-    frames.repartition("video_id").sortWithinPartitions("video_id", "frame_idx").write.mode("overwrite").partitionBy("video_id").parquet(path)
+    """Frames by video, in order within each file and from file to file: what an encoder would read from front to back. Ranges of
+    frames, not videos, are dealt to tasks."""
+    frames.repartitionByRange("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx").write.mode("overwrite").partitionBy("video_id").parquet(path)

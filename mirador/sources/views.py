@@ -25,7 +25,9 @@ TIMELINE = {
 }
 #: One row for each track and day: the largest x1 of the day.
 DAYS = {k: f"SELECT video_id, scene_id, class_name, track_id, frame_idx, max(x1) AS x1 FROM ({v}) t GROUP BY video_id, scene_id, class_name, track_id, frame_idx" for k, v in TIMELINE.items()}
-GREY = "SELECT 'v0' AS video_id, CAST(vec_id AS INT) AS frame_idx, embedding AS grey FROM embeddings"
+#: Sixteen videos, whose frames are numbered without gaps.
+VIDEOS = 16
+GREY = f"SELECT concat('v', CAST(vec_id % {VIDEOS} AS STRING)) AS video_id, CAST(floor(vec_id / {VIDEOS}) AS INT) AS frame_idx, embedding AS grey FROM embeddings"
 
 FRAME_WIDTH, FRAME_HEIGHT = 160, 110
 CUT = 0.15

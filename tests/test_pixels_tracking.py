@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from mirador.config import Config
 from mirador.functions import pixels
 from mirador.operators import pictures
@@ -108,3 +109,40 @@ def test_stream_equals_batch(spark, tmp_path):
     q = smoothed(stream).writeStream.format("memory").queryName("smooth").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["frame_idx"]: r["x1"] for r in spark.table("smooth").collect()} == {0: 10, 1: 17, 2: 26, 4: 100}
+
+
+def test_differences_across_runs(spark, monkeypatch):
+    from mirador.operators import pictures
+
+    monkeypatch.setattr(pictures, "RUN", 4)
+    rng = np.random.default_rng(8)
+    images = {("a", k): rng.integers(0, 255, (6, 5, 3), dtype=np.uint8) for k in range(11)} | {("b", k): rng.integers(0, 255, (6, 5, 3), dtype=np.uint8) for k in (0, 1, 3)}
+    df = spark.createDataFrame([(v, k, 5, 6, x.tobytes()) for (v, k), x in images.items()], "video_id string, frame_idx int, width int, height int, bgr binary").repartition(3)
+    got = {(r["video_id"], r["frame_idx"]): r["mad"] for r in pictures.differences(df).collect()}
+    grey = {k: pixels.gray(x).astype(int) for k, x in images.items()}
+    assert got.keys() == images.keys()
+    for (v, k), mad in got.items():
+        if (v, k - 1) in grey:
+            assert mad == pytest.approx(np.abs(grey[v, k] - grey[v, k - 1]).mean())
+        else:
+            assert mad is None
+
+
+def test_reid_end_to_end(spark):
+    from mirador.operators import reid
+
+    rng = np.random.default_rng(4)
+    before = {k: rng.integers(0, 255, (80, 100, 3), dtype=np.uint8) for k in range(3)}
+    after = {k: x.copy() for k, x in before.items()}
+    after[0][10:60, 10:60] = 90  # redacted; in frame 1 the face is left
+    pack = lambda images: spark.createDataFrame([("v", k, 100, 80, x.tobytes()) for k, x in images.items()], "video_id string, frame_idx int, width int, height int, bgr binary")
+    truth = spark.createDataFrame(
+        [("v", 0, "face", 10, 10, 60, 60), ("v", 1, "face", -5, 5, 60, 50), ("v", 1, "face", 0, 0, 10, 50), ("v", 1, "logo", 0, 0, 50, 50), ("v", 2, "face", 200, 0, 260, 50), ("v", 9, "face", 0, 0, 50, 50)],
+        "video_id string, frame_idx int, class_name string, x1 int, y1 int, x2 int, y2 int",
+    )
+    got = reid.tested(truth, pack(before), pack(after), reid.GradientEmbedder)
+    rows = {r["frame_idx"]: r for r in got.collect()}
+    assert set(rows) == {0, 1} and rows[1]["is_reidentified"] and rows[1]["similarity"] == pytest.approx(1.0) and not rows[0]["is_reidentified"]
+    s = reid.summary(got).first()
+    assert (s["n_tested"], s["n_reidentified"], s["reid_rate"]) == (2, 1, 0.5)
+    assert reid.summary(reid.tested(truth.limit(0), pack(before), pack(after), reid.GradientEmbedder)).first()["n_tested"] == 0
