@@ -286,13 +286,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     likely = materialise(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
     met = materialise(keyed.join(likely, "node", "left_semi"))
     wanted = distinct.select("node", *PLACE).join(likely, "node", "left_semi")
-    hits = _clustered(all_.where("not line").select("key", *PLACE)).select("doc_id", "word_from")
+    hits = _clustered(all_.where("not line").select("key", "doc_id", "word_from"))
     read = looked_up(docs, hits, wanted)
     discard(keyed, close)
 
     labels = _similar_components(met, read.where("line").select(F.col("key").alias("node"), F.col("shingles").alias("payload"))).withColumnRenamed("node", "key")
     own = lines.select("key", *PLACE).join(labels, "key", "left").select(F.coalesce("component", "key").alias("key"), *PLACE)
-    found = materialise(_clustered(own).unionByName(_clustered(read.where("not line").select("key", *PLACE))))
+    runs = _clustered(read.where("not line").select("key", "doc_id", "word_from")).withColumn("word_to", F.col("word_from") + LEAST_WORDS)
+    found = materialise(_clustered(own).unionByName(runs))
     discard(all_, distinct, likely, met, read)
     return found
 
