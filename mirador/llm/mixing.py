@@ -161,9 +161,12 @@ def mix(
     cut = F.when(F.col("pass") < F.col("_last"), whole).otherwise(F.least(whole, F.col("_t") - F.col("_last") * F.col("_n") - gone))
     slots = slots.select("shard", "sid", "pass", "block", cut.cast("long").alias("take")).where("take > 0")
 
-    chunks = max(1, math.ceil(n_docs / CHUNK_ROWS))
+    # as many chunks as a shuffle has partitions at least, so that a source's documents are dealt out at any size
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / CHUNK_ROWS))
     worded = sized.where("size > 0").withColumn("_order", F.xxhash64("doc_id", F.lit(seed)))
-    worded = worded.withColumn("_chunk", F.pmod("_order", F.lit(chunks)))
+    # chunks are ranges of the order, so their number changes no place
+    share_of = F.col("_order").cast("double") / float(1 << 64) + 0.5
+    worded = worded.withColumn("_chunk", F.least(F.floor(share_of * chunks), F.lit(chunks - 1)).cast("long"))
     placed = running_start(worded, ["sid"], "_chunk", ["_order", "doc_id", "size", "_rid"], "size", "_at")
     first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block)
     packed = placed.select("_rid", "sid", "size", "_at", F.explode(F.sequence(first, last)).alias("block"))
