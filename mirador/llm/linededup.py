@@ -126,14 +126,21 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     cuts = sorted(set(lines.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
     runs = LineRuns(docs.sparkSession, fanout)
     edges = [None, *[int(c) for c in cuts], None]
+    try:
+        found = _merged_batches(runs, lines, edges, least_docs)
+    finally:
+        runs.close()
+    return found, lines
+
+
+def _merged_batches(runs: LineRuns, lines: DataFrame, edges: list[int | None], least_docs: int) -> DataFrame:
+    """The keys that least_docs documents have, after all batches between the edges have been added, the largest doc_ids first."""
     for lo, hi in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
         part = lines if hi is None else lines.where(F.col("doc_id") < hi)
         # the smallest range also has the rows without doc_id
         part = part.where(F.col("doc_id") >= lo) if lo is not None else (lines.where(F.col("doc_id").isNull() | (F.col("doc_id") < hi)) if hi is not None else part)
         runs.add(part)
-    found = materialise(runs.all().where(F.col("n_docs") >= least_docs).select("k1", "k2", "holder"))
-    runs.close()
-    return found, lines
+    return materialise(runs.all().where(F.col("n_docs") >= least_docs).select("k1", "k2", "holder"))
 
 
 def _kept(doc: int | None, text: bytes | None, drop, least: int) -> tuple[int, int, bytes]:
