@@ -16,6 +16,7 @@ null component; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,9 @@ from mirador.llm.blocks import forest
 from mirador.llm.common import materialise
 from mirador.llm.graph import components
 
-TILE, STRIP = 4096, 1024
+#: A tile's vectors take TILE_BYTES at most in double precision; below that, tiles of TILE rows and more are as few as keep all tasks
+#: busy, for each tile travels once for each other one. PRODUCTS: numbers in a strip of a tile pair's products.
+TILE, TILE_BYTES, PRODUCTS = 4096, 1 << 25, 1 << 22
 #: Over the rounding of a float64 product of unit vectors of a few thousand components.
 _ROUNDING = 1e-9
 
@@ -43,11 +46,12 @@ def links(x: np.ndarray, y: np.ndarray, same: bool, least: float) -> tuple[np.nd
     ux, qx, lx, ex = _unit(x)
     uy, qy, ly, ey = (ux, qx, lx, ex) if same else _unit(y)
     a, b = [], []
-    for at in range(0, len(x), STRIP):
-        e, n = ex[at : at + STRIP], lx[at : at + STRIP]
+    strip = max(16, PRODUCTS // max(1, len(y)))
+    for at in range(0, len(x), strip):
+        e, n = ex[at : at + strip], lx[at : at + strip]
         # the largest error and length of the other tile keep the bound rigorous
         bound = e * ly.max() + n * ey.max() + e * ey.max() + _ROUNDING
-        product = qx[at : at + STRIP] @ qy.T
+        product = qx[at : at + strip] @ qy.T
         i, j = np.nonzero(product >= np.floor((least - bound) * 127.0 * 127.0)[:, None].astype(np.float32))
         if same:
             i, j = i[i + at < j], j[i + at < j]
@@ -88,8 +92,9 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "tile": [int(group["tile"].iloc[0])], "ids": [group["id"].to_numpy().astype("<i8").tobytes()], "counts": [group["n"].to_numpy().astype("<i8").tobytes()], "vectors": [x.tobytes()]})
 
 
-def near_duplicate_vectors(rows: DataFrame, least: float = 0.9, tile: int = TILE) -> DataFrame:
-    """rows(vec_id, embedding) as vec_id, n_links (other rows linked directly), component_id, kept."""
+def near_duplicate_vectors(rows: DataFrame, least: float = 0.9, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """rows(vec_id, embedding) as vec_id, n_links (other rows linked directly), component_id, kept. tile: rows that a tile has at least,
+    where there are more than one; tile_bytes: what its vectors take at most."""
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
     # scaled by the largest component, so that squares neither overflow nor vanish
@@ -98,15 +103,17 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.9, tile: int = TILE
     v = v.withColumn("_ok", F.coalesce(valid, F.lit(False)))
     v = materialise(v.withColumn("_v", F.when(F.col("_ok"), F.transform("_v", lambda x: x / big))))
     reps = materialise(v.where("_ok").groupBy("_v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumnRenamed("_v", "v"))
-    by_dim = reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("of"), F.max(F.size("v")).alias("d")).withColumn("tiles", F.ceil(F.col("of") / tile).cast("int")).drop("of", "d")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_dim = reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("_of"))
+    busy = F.least(F.ceil(F.col("_of") / tile), F.lit(math.ceil(math.sqrt(2 * n))))  # k tiles make k (k + 1) / 2 pairs
+    by_dim = by_dim.withColumn("tiles", F.greatest(busy, F.ceil(F.col("_of") * F.col("dim") * 8 / tile_bytes)).cast("int")).drop("_of")
     dealt = reps.withColumn("dim", F.size("v")).join(by_dim, "dim").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = dealt.groupBy("dim", "tile").applyInPandas(_packed, "dim int, tile int, ids binary, counts binary, vectors binary")
     tiles = materialise(tiles.join(by_dim, "dim"))
     # each tile meets each other once: under the pair of both numbers
     met = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    n = tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    met = met.repartition(int(n), "dim", "i", "j")
+    met = met.repartition(n, "dim", "i", "j")
     # a tile whose partner is empty meets itself only under its own pair
     found = met.groupBy("dim", "i", "j").applyInPandas(_pair(least), "a long, b long, n long")
     found = materialise(found)

@@ -113,7 +113,7 @@ def test_embeddings(spark):
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
     odd = [(400, None, 0), (401, [], 0), (402, [0.0] * 16, 0), (403, [None] + [1.0] * 15, 0), (404, [float("nan")] * 16, 0), (405, [float("inf")] * 16, 0), (406, [1.0, 2.0], 0), (407, [2.0, 4.0], 0), (None, x[7].tolist(), 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
-    found = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(df, tile=64).collect()}
+    found = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(df, tile=64, tile_bytes=16 * 8 * 50).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     s = u @ u.T >= 0.9
     own = roots(300, list(zip(*np.nonzero(s), strict=True)))
