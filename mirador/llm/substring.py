@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +38,17 @@ LEAST_WORDS, WINDOW, SHINGLE = 51, 32, 5
 BANDS, ROWS, JACCARD, AGREE = 8, 3, 0.8, 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
-_CACHED = 1 << 18
+_PIECE = 1 << 15
 PLACE = ["doc_id", "word_from", "word_to"]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 _powers_of: dict[int, np.ndarray] = {}
@@ -64,21 +66,35 @@ def _powers(base: int, n: int) -> np.ndarray:
     return kept[:n]
 
 
+def _upto(numbers: np.ndarray) -> np.ndarray:
+    """Running sums modulo 2^64, from 0."""
+    out = np.empty(len(numbers) + 1, dtype=np.uint64)
+    out[0] = 0
+    np.cumsum(numbers, out=out[1:])
+    return out
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k words in a row: polynomials modulo 2^64 from running sums, mixed."""
     if len(words) < k:
         return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        upto = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * _powers(_BASE, len(words)), dtype=np.uint64)))
-        return _mixed((upto[k:] - upto[:-k]) * _powers(_BACK, len(words) - k + 1))
+    upto = _upto(words * _powers(_BASE, len(words)))
+    return _mixed((upto[k:] - upto[:-k]) * _powers(_BACK, len(words) - k + 1))
 
 
 def winnowed(hashes: np.ndarray, of: int) -> np.ndarray:
-    """The place of the least hash, the last of equals, for each run of `of`; none if there are fewer."""
+    """The place of the least hash, the last of equals, for each run of `of`; none if there are fewer. Runs double in length until they
+    are as long."""
     if len(hashes) < of:
         return np.empty(0, dtype=np.int64)
-    runs = sliding_window_view(np.ascontiguousarray(hashes[::-1]), of)
-    return (len(hashes) - 1 - (np.arange(len(runs)) + runs.argmin(axis=1)))[::-1]
+    at, width = np.arange(len(hashes)), 1
+    while width < of:
+        step = min(width, of - width)
+        later = hashes[step:] <= hashes[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        hashes = np.minimum(hashes[step:], hashes[:-step])
+        width += step
+    return at
 
 
 def anchors(hashes: np.ndarray, of: int) -> np.ndarray:
@@ -87,30 +103,63 @@ def anchors(hashes: np.ndarray, of: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, append=-1))]  # at never falls
 
 
-class Words(dict):
-    """64-bit hashes of words; remembers those of a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _CACHED:
-            self.clear()
-        return np.array(list(map(self.__getitem__, words)), dtype=np.int64).view(np.uint64)
-
-
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+_MOST = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z are in lower case
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def _pieces(text: bytes) -> Iterator[np.ndarray]:
+    """The bytes of a text in pieces that end with a blank, so that no word is cut; about _PIECE bytes, but no shorter than a word."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = 0
+    while len(data) - at > _PIECE:
+        end = at + _PIECE
+        while end < len(data):  # a word may be longer than a piece
+            blank = np.flatnonzero(_BLANK[data[end : end + _PIECE]])
+            end += blank[0] + 1 if len(blank) else _PIECE
+            if len(blank):
+                break
+        end = min(end, len(data))
+        yield data[at:end]
+        at = end
+    if at < len(data):
+        yield data[at:]
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words, number of words of each line).
+
+    A word's hash is a polynomial modulo 2^64 of a random number for each of its bytes, mixed: the same wherever the word stands. A piece
+    of text is hashed at once, no word by itself.
+    """
+    hashes, ends, n = [], [], 0
+    for data in _pieces(text):
+        blank = np.ones(len(data) + 2, dtype=bool)
+        np.take(_BLANK, data, out=blank[1:-1])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        lo, hi = edges[::2], edges[1::2]
+        upto = _upto(np.take(_BYTE, data) * _powers(_BASE, len(data)))
+        hashes.append(_mixed((upto[hi] - upto[lo]) * _powers(_BACK, len(data))[lo]))
+        ends.append(np.searchsorted(lo, np.flatnonzero(data == 10)) + n)
+        n += len(lo)
+    if not hashes:
+        return np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+    return np.concatenate(hashes), np.diff(np.concatenate(ends), prepend=0, append=n)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """BANDS * ROWS MinHash values of a set of shingle hashes, 32 bits of each. These are mixed already, so a product orders them anew."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):  # a bounded table at a time
-            least = np.minimum(least, ((shingles[at : at + 4096] ^ _B[:, None]) * _A[:, None]).min(axis=1))
+    least = _MOST
+    for at in range(0, len(shingles), 4096):  # a bounded table at a time
+        table = shingles[at : at + 4096] ^ _B[:, None]
+        table *= _A[:, None]
+        least = np.minimum(least, table.min(axis=1))
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -155,17 +204,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     schema = "line boolean, key long, doc_id long, word_from int, word_to int, signature array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
             keys, own, at, blocks = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lines = [line.split() for line in (text.as_py() or b"").lower().split(b"\n")]
-                words = [w for line in lines for w in line]
-                if len(words) < LEAST_WORDS:
+                h, sizes = words_of(text.as_py() or b"")
+                if len(h) < LEAST_WORDS:
                     continue
-                h = known.of(words)
                 five = grams(h, SHINGLE)
-                for lo, hi in _blocks(list(map(len, lines))):
+                for lo, hi in _blocks(sizes.tolist()):
                     blocks.append((_key(h[lo:hi]), doc, lo, hi, signature(five[lo : hi - SHINGLE + 1])))
                 windows = grams(h, WINDOW)
                 places = anchors(windows, LEAST_WORDS - WINDOW + 1)
@@ -222,17 +268,15 @@ def looked_up(docs: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).join(asked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
             for doc, text, own, paragraphs_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                words = (text.as_py() or b"").lower().split()
-                if len(words) < LEAST_WORDS:
+                h, _ = words_of(text.as_py() or b"")
+                if len(h) < LEAST_WORDS:
                     continue
-                h = known.of(words)
                 if own.is_valid:
-                    hit = np.zeros(len(words), dtype=bool)
+                    hit = np.zeros(len(h), dtype=bool)
                     at = own.values.to_numpy(zero_copy_only=False)
-                    hit[at[at < len(words)]] = True  # rows of one doc_id may have texts of several lengths
+                    hit[at[at < len(h)]] = True  # rows of one doc_id may have texts of several lengths
                     at = np.flatnonzero(hit[winnowed(grams(h, WINDOW), LEAST_WORDS - WINDOW + 1)]).astype(np.int32)
                     key = grams(h, LEAST_WORDS)[at].view(np.int64)
                     yield _rows(False, key, np.full(len(at), doc), at, at + np.int32(LEAST_WORDS), None, "shingles", pa.int64())

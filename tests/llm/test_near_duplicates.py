@@ -283,3 +283,22 @@ def test_one_of_each_by_row(spark):
     rows = [(1, a), (None, a), (None, a), (None, b), (None, b), (None, c), (5, a), (5, d), (5, a)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", a), ("None", b), ("None", c), ("5", d)])
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    long = b"x" * 100_000
+    texts = [b"", b" \t\n\x0b", b"A b\nc\n\n a\x00\x0c\xc3\xa9 ", long + b" y\n" + b"z " * 40_000, b"w " * 40_000 + long, b"a\n" * 40_000]
+    of_word, of_hash = {}, {}
+    for text in texts:
+        hashes, sizes = substring.words_of(text)
+        lines = [line.split() for line in text.lower().split(b"\n")]
+        assert sizes.tolist() == [len(line) for line in lines]
+        for word, h in zip([w for line in lines for w in line], hashes.tolist(), strict=True):
+            assert of_word.setdefault(word, h) == h and of_hash.setdefault(h, word) == word
+
+
+def test_winnowing_takes_the_last_of_the_least():
+    h = np.random.default_rng(5).integers(0, 6, 300, dtype=np.uint64)
+    for of in (1, 2, 7, 20):
+        assert substring.winnowed(h, of).tolist() == [max(j for j in range(i, i + of) if h[j] == h[i : i + of].min()) for i in range(300 - of + 1)]
+    assert not len(substring.winnowed(h[:5], 6))
