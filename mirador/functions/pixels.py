@@ -98,6 +98,17 @@ def resize_longest(image: np.ndarray, longest: int) -> tuple[np.ndarray, float]:
     return resize(image, int(w * s), int(h * s)), s
 
 
+def flipped(image: np.ndarray) -> np.ndarray:
+    """RGB of BGR, and the other way round."""
+    return image[..., ::-1]
+
+
+def side_by_side(left: np.ndarray, right: np.ndarray, height: int = 360) -> np.ndarray:
+    """Both frames at one height, beside each other. Captions are left to whoever shows the picture."""
+    at = lambda image: resize(image, max(1, int(image.shape[1] * height / image.shape[0])), height)
+    return np.concatenate([at(left), at(right)], axis=1)
+
+
 def crop(image: np.ndarray, box, side: int = 112) -> np.ndarray | None:
     x1, y1, x2, y2 = clamped(box, image.shape[1], image.shape[0])
     return None if x2 <= x1 or y2 <= y1 else resize(image[y1:y2, x1:x2], side, side)

@@ -61,6 +61,26 @@ def similarity(original: DataFrame, changed: DataFrame, tracks: DataFrame) -> Da
     return both.mapInPandas(run, "video_id string, frame_idx int, ssim double")
 
 
+def sample_pairs(original: DataFrame, changed: DataFrame, samples: DataFrame) -> DataFrame:
+    """samples(original_id, changed_id, frame_idx, ...) with other columns of their frames as struct `before` and `after`; a sample that lacks
+    either frame is left out."""
+    side = lambda frames, key, name: frames.select(F.col("video_id").alias(key), "frame_idx", F.struct(*[c for c in frames.columns if c not in ("video_id", "frame_idx")]).alias(name))
+    return samples.join(side(original, "original_id", "before"), ["original_id", "frame_idx"]).join(side(changed, "changed_id", "after"), ["changed_id", "frame_idx"])
+
+
+def sample_pictures(original: DataFrame, changed: DataFrame, samples: DataFrame, height: int = 360) -> DataFrame:
+    """(original_id, changed_id, frame_idx, width, height, bgr): each sample's frames beside each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [pixels.side_by_side(*[_image(x["bgr"], x["width"], x["height"]) for x in (r.before, r.after)], height) for r in rows.itertuples()]
+            yield rows[["original_id", "changed_id", "frame_idx"]].assign(width=[o.shape[1] for o in out], height=height, bgr=[o.tobytes() for o in out])
+
+    slim = lambda frames: frames.select("video_id", "frame_idx", "width", "height", "bgr")
+    pairs = sample_pairs(slim(original), slim(changed), samples.select("original_id", "changed_id", "frame_idx"))
+    return pairs.mapInPandas(run, "original_id string, changed_id string, frame_idx int, width int, height int, bgr binary")
+
+
 def mean_similarity(values: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return values.groupBy(*group).agg(F.coalesce(F.avg("ssim"), F.lit(1.0)).alias("ssim"), F.count("ssim").alias("n_ssim"))
 
@@ -105,7 +125,7 @@ def differences(frames: DataFrame) -> DataFrame:
 
 
 class Detector(Protocol):
-    """Finds boxes of one class. Made once a worker by its factory; load models there."""
+    """Finds boxes of one class. Made once a task by its factory, and if it has `warmup()`, that is called before the first frame."""
 
     def detect(self, image: np.ndarray, frame_idx: int) -> list[tuple[float, float, float, float, float]]:
         """(x1, y1, x2, y2, confidence) in pixels of the image."""
@@ -117,11 +137,13 @@ class OnnxDetector:
     def __init__(self, path: str):
         self.path, self.session = path, None
 
-    def detect(self, image: np.ndarray, frame_idx: int) -> list[tuple[float, float, float, float, float]]:
-        if self.session is None:
-            import onnxruntime
+    def warmup(self) -> None:
+        import onnxruntime
 
-            self.session = onnxruntime.InferenceSession(self.path)
+        self.session = self.session or onnxruntime.InferenceSession(self.path)
+
+    def detect(self, image: np.ndarray, frame_idx: int) -> list[tuple[float, float, float, float, float]]:
+        self.warmup()
         x = image.astype(np.float32).transpose(2, 0, 1)[None] / 255.0
         return [tuple(map(float, r[:5])) for r in self.session.run(None, {self.session.get_inputs()[0].name: x})[0].reshape(-1, 5)]
 
@@ -147,7 +169,10 @@ def detected(frames: DataFrame, class_name: str, factory: Callable[[], Detector]
             for r in rows.itertuples():
                 scale, found, error = 1.0, [], None
                 try:
-                    detector = detector or factory()
+                    if detector is None:
+                        made = factory()
+                        getattr(made, "warmup", lambda: None)()
+                        detector = made
                     image = _image(r.bgr, r.width, r.height)
                     if longest:
                         image, scale = pixels.resize_longest(image, longest)

@@ -15,6 +15,9 @@ from mirador.operators import tracks as tr
 from mirador.operators.pictures import Detector
 from mirador.operators.tracking import tracked
 
+#: The thresholds of proxy annotations.
+ANNOTATION_THRESHOLDS = {"face": 0.25, "text": 0.30, "logo": 0.20}
+
 
 def prepared(frame_pixels: DataFrame, config: Config) -> DataFrame:
     """Frames without pixels: scene cuts, scenes and the gate. Only numbers enter the windows."""
@@ -43,6 +46,14 @@ def anonymise(frame_pixels: DataFrame, detectors: dict[str, Callable[[], Detecto
     return pictures.redacted(pixels.drop("is_detection_frame"), boxes), boxes
 
 
+def auto_annotate(frame_pixels: DataFrame, detectors: dict[str, Callable[[], Detector]], every: int = 3, most: int = 300) -> DataFrame:
+    """Proxy ground truth(video_id, frame_idx, x1, y1, x2, y2, class_name, track_id): all that the detectors find at low thresholds on every
+    `every`-th frame, `most` frames a video at most; no gate, no tracks."""
+    frames = fr.sampled(fr.first_frames(frame_pixels, every * most), every).withColumn("is_detection_frame", F.lit(True))
+    found = pictures.ensemble(frames, detectors, ANNOTATION_THRESHOLDS)
+    return found.select("video_id", "frame_idx", "x1", "y1", "x2", "y2", "class_name", F.lit(None).cast("int").alias("track_id"))
+
+
 def evaluate(frame_pixels: DataFrame, redacted: DataFrame, boxes: DataFrame, truth: DataFrame, faces: DataFrame | None = None, config: Config | None = None) -> DataFrame:
     """A row for each video and class: rates, and the video's temporal consistency, similarity outside boxes on sampled frames, and
     re-identification of faces(video_id, face_size_px, embedding_original, embedding_redacted), null where that wasn't run."""

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from mirador.config import CLASSES, Config
 from mirador.functions import geometry as g
-from mirador.operators import boxes, frames, metrics, reid, tracks
-from mirador.sources import synthetic, views
+from mirador.operators import boxes, frames, metrics, pictures, reid, tracks
+from mirador.sources import files, synthetic, views
 from mirador.sources.files import output_path, stem
 from mirador.sources.views import DAYS, FRAME_HEIGHT, FRAME_WIDTH, GREY, GT, PRED, view
 
@@ -412,6 +412,27 @@ def sampled_faces(s: SparkSession, d: str) -> DataFrame:
     return tidy(reid.sampled_faces(view(s, d, _TRUE_FACES), before, after, 30), "video_id", "frame_idx", "sample_idx", "ln", "pk", "sk", "before", "after")
 
 
+_PAIRED = f"SELECT concat('v', CAST(o_orderkey % {views.VIDEOS} AS STRING)) AS original_id, concat('v', CAST(o_orderkey % 5 AS STRING)) AS changed_id, CAST(o_orderkey % 90 AS INT) AS frame_idx, CAST(o_orderkey AS BIGINT) AS sample_id FROM orders"
+
+
+@query("sample_pairs", f"""SELECT p.original_id, p.changed_id, CAST(p.frame_idx AS BIGINT) AS frame_idx, p.sample_id, round(CAST(a.grey[1] AS DOUBLE), 6) AS before, round(CAST(b.grey[1] AS DOUBLE), 6) AS after
+FROM ({_PAIRED}) p JOIN ({_SEEN}) a ON a.video_id = p.original_id AND a.frame_idx = p.frame_idx JOIN ({_SEEN}) b ON b.video_id = p.changed_id AND b.frame_idx = p.frame_idx""")
+def sample_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The frames before and after of a list of samples, without those that either video lacks."""
+    seen = view(s, d, GREY).select("video_id", "frame_idx", F.get("grey", F.lit(0)).cast("double").alias("value"))
+    pairs = pictures.sample_pairs(seen, seen, view(s, d, _PAIRED))
+    return tidy(pairs.select("original_id", "changed_id", "frame_idx", "sample_id", F.col("before.value").alias("before"), F.col("after.value").alias("after")))
+
+
+_PROBED = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 4 * 12 - 6 AS DOUBLE) END AS fps, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 1000 END AS frame_count FROM orders"
+
+
+@query("video_metadata", f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, round(f, 6) AS fps, CAST(n AS BIGINT) AS frame_count, round(CASE WHEN f > 0 THEN CAST(n AS DOUBLE) / f ELSE CAST(0 AS DOUBLE) END, 6) AS duration_seconds FROM (SELECT o_orderkey, CASE WHEN coalesce(fps, 0) = 0 THEN CAST(30 AS DOUBLE) ELSE fps END AS f, coalesce(frame_count, 0) AS n FROM ({_PROBED}) p) q")
+def video_metadata(s: SparkSession, d: str) -> DataFrame:
+    """What a probe of containers leaves out, and their durations."""
+    return tidy(files.metadata(view(s, d, _PROBED)), "o_orderkey", "fps", "frame_count", "duration_seconds")
+
+
 # -- reports ----------------------------------------------------------------------------------------------------------------
 
 _VALUES = ", ".join(f"CAST(round((100 - n % {7 + k}) / CAST(100 AS DOUBLE), 2) AS DOUBLE) AS {n}" for k, n in enumerate([c[0] for c in metrics.CHECKS if c[0] != "false_positive_rate"] + ["face_fpr", "text_fpr", "logo_fpr"]))

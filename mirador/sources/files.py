@@ -40,6 +40,32 @@ def results(spark: SparkSession, path: str, labels: dict[str, str] | None = None
     return rows.withColumn("label", F.coalesce(F.try_element_at(names, F.col("_stem")), F.col("_stem"))).drop("_stem")
 
 
+def write_results(results_: DataFrame, aggregate: DataFrame, path: str) -> None:
+    """Results, one row a video, as JSON in a folder for each video below results; the aggregate beside them, if there are several."""
+    results_.write.partitionBy("video_id").mode("overwrite").json(f"{path}/results")
+    if len(results_.select("video_id").distinct().take(2)) > 1:
+        aggregate.write.mode("overwrite").json(f"{path}/aggregate")
+
+
+def metadata(probed: DataFrame) -> DataFrame:
+    """Rows of a probe(fps, frame_count, ...) with the defaults of containers that say nothing: 30 frames a second, no frames; and their
+    duration_seconds, 0 where the rate isn't above 0."""
+    fps = F.when(F.coalesce(F.col("fps"), F.lit(0.0)) == 0, 30.0).otherwise(F.col("fps").cast("double"))
+    rows = probed.withColumn("fps", fps).withColumn("frame_count", F.coalesce("frame_count", F.lit(0)))
+    return rows.withColumn("duration_seconds", F.when(F.col("fps") > 0, F.col("frame_count") / F.col("fps")).otherwise(0.0))
+
+
+def loaded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of the picture files of a list; a file that is missing or empty is an error. Spark's readers pass over empty files
+    in silence, so these are looked for first."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in map(hadoop.Path, paths):
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path) or not fs.getFileStatus(path).getLen():
+            raise ValueError(f"unreadable picture: {path}")
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
 def work_list(videos: DataFrame, truths: DataFrame) -> DataFrame:
     """Videos by path, in order, with their annotation file by the same stem, null where there is none."""
     v = videos.select("path", stem("path").alias("stem"))

@@ -7,7 +7,9 @@ from mirador.operators import pictures
 from mirador.operators.tracking import Tracker, assignment
 from mirador.plans import pipeline
 from mirador.plans.report import table
+from mirador.sources import files
 from mirador.streaming.smoothing import smoothed
+from pyspark.sql import functions as F
 
 
 def test_blur_and_fill():
@@ -146,3 +148,55 @@ def test_reid_end_to_end(spark):
     s = reid.summary(got).first()
     assert (s["n_tested"], s["n_reidentified"], s["reid_rate"]) == (2, 1, 0.5)
     assert reid.summary(reid.tested(truth.limit(0), pack(before), pack(after), reid.GradientEmbedder)).first()["n_tested"] == 0
+
+
+def test_sample_pictures(spark):
+    schema = "video_id string, frame_idx int, width int, height int, bgr binary"
+    frames = spark.createDataFrame(clip(4), schema)
+    changed = frames.withColumn("video_id", F.lit("anon_v")).where("frame_idx <> 2")
+    samples = spark.createDataFrame([("v", "anon_v", 1, "one"), ("v", "anon_v", 2, "no frame"), ("w", "anon_v", 1, "no video")], "original_id string, changed_id string, frame_idx int, label string")
+    assert [r["label"] for r in pictures.sample_pairs(frames, changed, samples).collect()] == ["one"]
+    (r,) = pictures.sample_pictures(frames, changed, samples, height=24).collect()
+    image = np.frombuffer(r["bgr"], np.uint8).reshape(r["height"], r["width"], 3)
+    assert image.shape == (24, 64, 3) and (image[:, :32] == image[:, 32:]).all()
+    assert (pixels.flipped(pixels.flipped(image)) == image).all() and (pixels.flipped(image)[..., 0] == image[..., 2]).all()
+    assert not pictures.sample_pictures(frames, changed, samples.limit(0)).collect()
+
+
+def test_auto_annotate(spark):
+    class Warm(pictures.KnownBoxes):  # here, for workers can't import this module
+        warm = False
+
+        def warmup(self):
+            self.warm = True
+
+        def detect(self, image, frame_idx):
+            return super().detect(image, frame_idx) if self.warm else []
+
+    frames = spark.createDataFrame(clip(), "video_id string, frame_idx int, width int, height int, bgr binary")
+    faces = {k: [(8, 10, 24, 26, 0.26), (30, 10, 40, 26, 0.24)] for k in range(12)}
+    found = pipeline.auto_annotate(frames, {"face": lambda: Warm(faces)}, every=3, most=3).collect()
+    assert sorted(r["frame_idx"] for r in found) == [0, 3, 6] and {(r["x1"], r["class_name"], r["track_id"]) for r in found} == {(8, "face", None)}
+
+
+def test_picture_files_and_pushed_frames(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"picture")
+    (tmp_path / "b.png").write_bytes(b"")
+    assert files.loaded(spark, [str(tmp_path / "a.png")]).first()["content"] == b"picture"
+    for bad in ("b.png", "missing.png"):
+        with pytest.raises(ValueError, match="unreadable picture"):
+            files.loaded(spark, [str(tmp_path / bad)])
+    files.write_pixels(spark.createDataFrame(clip(4), "video_id string, frame_idx int, width int, height int, bgr binary"), str(tmp_path / "frames"))
+    one = files.read_pixels(spark, str(tmp_path / "frames")).where("video_id = 'v' AND frame_idx = 3")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(frame_idx,3)" in plan.split("PushedFilters")[1] and "(video_id" in plan.split("PartitionFilters")[1] and one.count() == 1
+
+
+def test_written_results(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.9), ("b", 0.7)], "video_id string, ssim double")
+    total = rows.agg(F.avg("ssim").alias("ssim"))
+    files.write_results(rows, total, str(tmp_path / "two"))
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "two/results")).select("video_id", "ssim").collect()} == {("a", 0.9), ("b", 0.7)}
+    assert spark.read.json(str(tmp_path / "two/aggregate")).first()["ssim"] == pytest.approx(0.8)
+    files.write_results(rows.where("video_id = 'a'"), total, str(tmp_path / "one"))
+    assert not (tmp_path / "one/aggregate").exists()
