@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     prior = float(min(0.9, max(0.01, prior)))
     order = F.xxhash64("doc_id", F.lit(seed))
     toxic = open_.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_toxic).withColumn("_p", F.lit(True))
-    others = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(most_unlabelled).distinct().withColumn("_u", F.lit(True))
+    others = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(most_unlabelled).withColumn("_u", F.lit(True))
     # most_toxic + most_unlabelled ids at most
     wanted = toxic.join(others, "doc_id", "full").select(F.col("doc_id").alias("_id"), F.coalesce("_p", F.lit(False)).alias("_p"), F.coalesce("_u", F.lit(False)).alias("_u"))
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "_p", "_u", "text")

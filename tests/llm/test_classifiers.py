@@ -26,6 +26,15 @@ def corpus(spark, n=600):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_repeated_rows_leave_the_toxicity_sample_whole(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: sizes.append((len(positive), len(unlabelled))))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)] + [(k, f"text {k}") for k in range(20)] * 9, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(20)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, most_toxic=4, most_unlabelled=12)
+    assert sizes == [(4, 12)]
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     docs, labels = corpus(spark)
     found = toxicity.op6_toxicity(docs, labels).collect()
